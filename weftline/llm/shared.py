@@ -85,3 +85,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
+
+
+#: At most this many groups can hold over 1/HOT_GROUPS of all rows.
+HOT_GROUPS = 10_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """``rows`` left-joined with one-row-per-key ``groups``, without a hot task.
+
+    Groups of over 1/HOT_GROUPS of the ``total`` rows (at most HOT_GROUPS of
+    them) are joined by broadcast; their rows take keys of their own in the
+    shuffled join of the rest.  Keys must not be null.
+    """
+    payload = [c for c in groups.columns if c not in keys]
+    hot = groups.where(F.col(size) > max(1000, total // HOT_GROUPS)).select(
+        *[F.col(k).alias(f"__h{i}") for i, k in enumerate(keys)], F.struct(*payload).alias("__hot")
+    )
+    cold = groups.select(
+        *[F.col(k).alias(f"__c{i}") for i, k in enumerate(keys)], F.lit(0).cast("long").alias("__c"), F.struct(*payload).alias("__cold")
+    )
+    match = [F.col(k) == F.col(f"__h{i}") for i, k in enumerate(keys)]
+    out = rows.join(F.broadcast(hot), match, "left")
+    # rows of hot groups are spread by a salt that no group has
+    salt = F.when(F.col("__hot").isNull(), F.lit(0).cast("long")).otherwise(F.monotonically_increasing_id() + 1)
+    out = out.withColumn("__s", salt)
+    match = [F.col(k) == F.col(f"__c{i}") for i, k in enumerate(keys)] + [F.col("__s") == F.col("__c")]
+    out = out.join(cold, match, "left")
+    got = F.coalesce("__hot", "__cold")
+    return out.select(*[F.col(f"`{c}`") for c in rows.columns], *[got[c].alias(c) for c in payload])
