@@ -113,4 +113,5 @@ ORACLE = {
     "op1_mixing": _MIX,
     "op3_decontamination": _DECONTAMINATE,
     "op4_exact_dedup": _EXACT,
+    "op9_substring_dedup": _SUBSTRING,
 }

@@ -10,6 +10,8 @@ from .mixing import mix_report
 from .near_dedup import near_duplicates
 from .shared import table
 from .sharding import shard
+from .substring_dedup import remove_known
+from .suffix_dedup import remove_repeats
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,10 +39,22 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated 200-byte strings."""
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without 13-word windows of earlier documents."""
+    return remove_known(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_near_dedup": op2_near_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_sharding": op7_sharding,
+    "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
 }

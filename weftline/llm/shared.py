@@ -59,6 +59,14 @@ def _clean() -> None:
             return
 
 
+#: Spark drops the shuffle files of a query that is done if this is set.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_parquet(df: DataFrame, path: str) -> None:
+    df.write.option("compression", "zstd").parquet(path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again.
 
@@ -66,7 +74,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    write_parquet(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
