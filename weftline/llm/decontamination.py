@@ -125,39 +125,44 @@ def _count(load: Callable[[], dict[int, np.ndarray]]):
     return run
 
 
+def examine(column: pa.Array, blocks: list) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
+    """Words, hit words and items of each text; ``blocks`` are broadcasts of Windows."""
+    n = len(column)
+    hit, items, n_words = [set() for _ in range(n)], [set() for _ in range(n)], np.zeros(n, dtype=np.int64)
+    data, offsets = text_buffer(column)
+    data = LOWER[data]
+    for block in blocks:
+        windows = block.value
+        for lo, hi in chunks(offsets):
+            base = offsets[lo]
+            part = data[base : offsets[hi]]
+            starts, ends, hashes, first = word_hashes(part, offsets[lo : hi + 1] - base, ALNUM, False)
+            n_words[lo:hi] = np.diff(first)
+            for q, (keys, holders) in windows.prefix.items():
+                found, which = _member(gram_hashes(hashes, q), keys)
+                if not len(found):
+                    continue
+                docs = np.searchsorted(first, found, "right") - 1
+                for p, k, d in zip(found.tolist(), which.tolist(), docs.tolist(), strict=True):
+                    for w, o in holders[k]:
+                        s, want = p - o, windows.words[w]
+                        if s < first[d] or s + len(want) > first[d + 1]:
+                            continue
+                        if all(part[starts[s + i] : ends[s + i]].tobytes() == x for i, x in enumerate(want)):
+                            hit[lo + d].update(range(s - first[d], s - first[d] + len(want)))
+                            items[lo + d] |= windows.items[w]
+        if len(blocks) > 1:  # let go of this block before the next is loaded
+            del windows
+            block.__dict__.pop("_value", None)
+    return n_words, np.array([len(h) for h in hit], dtype=np.int64), items
+
+
 def _scan(blocks: list, share: int):
-    """One output row per document; ``blocks`` are broadcasts of Windows."""
+    """One output row per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            hit, items, n_words = [set() for _ in range(n)], [set() for _ in range(n)], np.zeros(n, dtype=np.int64)
-            data, offsets = text_buffer(batch.column(1))
-            data = LOWER[data]
-            for block in blocks:
-                windows = block.value
-                for lo, hi in chunks(offsets):
-                    base = offsets[lo]
-                    part = data[base : offsets[hi]]
-                    starts, ends, hashes, first = word_hashes(part, offsets[lo : hi + 1] - base, ALNUM, False)
-                    n_words[lo:hi] = np.diff(first)
-                    for q, (keys, holders) in windows.prefix.items():
-                        found, which = _member(gram_hashes(hashes, q), keys)
-                        if not len(found):
-                            continue
-                        docs = np.searchsorted(first, found, "right") - 1
-                        for p, k, d in zip(found.tolist(), which.tolist(), docs.tolist(), strict=True):
-                            for w, o in holders[k]:
-                                s, want = p - o, windows.words[w]
-                                if s < first[d] or s + len(want) > first[d + 1]:
-                                    continue
-                                if all(part[starts[s + i] : ends[s + i]].tobytes() == x for i, x in enumerate(want)):
-                                    hit[lo + d].update(range(s - first[d], s - first[d] + len(want)))
-                                    items[lo + d] |= windows.items[w]
-                if len(blocks) > 1:  # let go of this block before the next is loaded
-                    del windows
-                    block.__dict__.pop("_value", None)
-            n_hit = np.array([len(h) for h in hit], dtype=np.int64)
+            n_words, n_hit, items = examine(batch.column(1), blocks)
             names = [hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for i in items]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -174,8 +179,18 @@ def _scan(blocks: list, share: int):
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, share: int = SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of ``docs``."""
+def _keep(blocks: list, share: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_words, n_hit, _ = examine(batch.column(batch.num_columns - 1), blocks)
+            keep = (n_hit == 0) | (n_hit * share < n_words)
+            yield batch.filter(pa.array(keep)).drop_columns([batch.schema.names[-1]])
+
+    return run
+
+
+def window_blocks(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int, block_bytes: int) -> list:
+    """Broadcasts of the benchmark's windows, with prefixes chosen by counts over ``docs``."""
     spark = docs.sparkSession
     bench = benchmark.select("item_id", "text")
     total = bench.agg(F.sum(F.octet_length("text"))).head()[0] or 0
@@ -194,4 +209,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         windows.choose(counts)
         blocks.append(spark.sparkContext.broadcast(windows))
         shared.unpersist()
+    return blocks
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, share: int = SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of ``docs``."""
+    blocks = window_blocks(docs, benchmark, window, shingle, block_bytes)
     return docs.select("doc_id", "text").mapInArrow(_scan(blocks, share), SCHEMA)
+
+
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, share: int = SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated, all columns."""
+    blocks = window_blocks(docs, benchmark, window, shingle, block_bytes)
+    return docs.withColumn("__text", F.col("text")).mapInArrow(_keep(blocks, share), docs.schema)

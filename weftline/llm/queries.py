@@ -8,10 +8,13 @@ from .decontamination import contamination
 from .exact_dedup import decisions
 from .mixing import mix_report
 from .near_dedup import near_duplicates
+from .pii import find
+from .quality import score as quality_score
 from .shared import table
 from .sharding import shard
 from .substring_dedup import remove_known
 from .suffix_dedup import remove_repeats
+from .toxicity import score as toxicity_score
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +37,16 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    return find(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document under the law of near-equal bytes."""
     return shard(table(spark, sf_dir, "documents"))
@@ -49,12 +62,20 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_known(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_near_dedup": op2_near_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_toxicity": op5_toxicity,
+    "op6_pii": op6_pii,
     "op7_sharding": op7_sharding,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_quality": op10_quality,
 }
