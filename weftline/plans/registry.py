@@ -1,4 +1,10 @@
-"""Registered queries and their SQL."""
+"""All registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from . import retrieval_queries, text_queries, usage_queries
+
+_ALL = {**text_queries.QUERIES, **retrieval_queries.QUERIES, **usage_queries.QUERIES}
+
+QUERIES = {name: q for name, (q, _) in _ALL.items()}
+ORACLE = {name: sql for name, (_, sql) in _ALL.items() if sql}
