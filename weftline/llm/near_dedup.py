@@ -1,15 +1,15 @@
 r"""MinHash near-dedup with odd sketches.
 
 A document's set holds the hashes of its distinct 5-word shingles.  Documents
-with equal sets collapse into one node first.  Each node has 140 MinHash values
-in 28 bands of 5, and an odd sketch: a bitmap of 512 bits in which each MinHash
-value flips one bit, so the population count of the XOR of two sketches grows
-with the number of values in which they differ and tells high similarities
-apart.  Nodes that share a band are candidates; the sketch drops those far
-below the threshold; links are confirmed on full sets.
+with equal sets collapse into one node first.  Each node has 560 MinHash values,
+of which 140 make 28 bands of 5, and an odd sketch: a bitmap of 2048 bits in
+which each MinHash value flips one bit, so the population count of the XOR of
+two sketches grows with the number of values in which they differ and tells
+high similarities apart.  Nodes that share a band are candidates; sizes and the
+sketch drop those below the threshold; links are confirmed on full sets.
 
 At similarity 0.85 a pair misses all bands with probability (1-0.85^5)^28 <
-1e-7, and the sketch's limit lies over six standard deviations off.
+1e-7, and the sketch's limit lies five standard deviations off.
 
 No bucket emits all of its pairs.  Round one tests each member against the
 smallest node of its bucket.  Members that then share a component need no
@@ -38,22 +38,32 @@ from .shared import join_groups, materialize
 
 SHINGLE = 5
 BANDS, ROWS = 28, 5
-SKETCH_BITS = 512
+#: MinHash values in a sketch; the first BANDS * ROWS of them also make the bands.
+MINS = 560
+SKETCH_BITS = 2048
+#: Standard deviations by which a pair at the threshold may look less similar than it is.
+DEVIATIONS = 5
 #: Links need PERCENT * union <= 100 * intersection.
 PERCENT = 85
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
-_A = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * U64(2) + U64(1)
-_B = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+_A = _rng.integers(0, 2**63, MINS, dtype=np.uint64) * U64(2) + U64(1)
+_B = _rng.integers(0, 2**63, MINS, dtype=np.uint64)
 _C = _rng.integers(0, 2**63, ROWS, dtype=np.uint64) * U64(2) + U64(1)
 
 
 def most_differing_bits(percent: int) -> int:
-    """Largest XOR count that a pair at the threshold reaches, six deviations out."""
-    k, p = BANDS * ROWS, 1 - percent / 100
-    differing = k * p + 6 * (k * p * (1 - p)) ** 0.5
-    expected = SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * differing))
-    return int(expected + 3 * (SKETCH_BITS / 4) ** 0.5 * 0.5) + 1
+    """Largest XOR count that is taken for a pair at the threshold.
+
+    Differing values flip two bits each; flips that meet cancel out.
+    """
+    p, m = 1 - percent / 100, SKETCH_BITS
+    flips = 2 * MINS * p
+    expected = m / 2 * (1 - (1 - 2 / m) ** flips)
+    slope = (1 - 2 / m) ** flips
+    sampling = 2 * (MINS * p * (1 - p)) ** 0.5 * slope
+    meeting = 2 * (flips * flips / (2 * m)) ** 0.5
+    return int(expected + DEVIATIONS * (sampling**2 + meeting**2) ** 0.5) + 1
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -85,14 +95,18 @@ def signatures(sets: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     """Set fingerprints (two of 64 bits), sketches and band keys of non-empty sets."""
     f1 = np.add.reduceat(mix(sets ^ U64(0x5851F42D4C957F2D)), starts)
     f2 = np.add.reduceat(mix(sets + U64(0x14057B7EF767814F)), starts)
-    mins = np.empty((BANDS * ROWS, len(starts)), dtype=U64)
-    for j in range(BANDS * ROWS):
-        mins[j] = np.minimum.reduceat(sets * _A[j] + _B[j], starts)
-    bits = (mix(mins + (np.arange(BANDS * ROWS, dtype=U64) * U64(0xD6E8FEB86659FD93))[:, None]) >> U64(64 - 9)).astype(np.int64)
     n = len(starts)
+    mins = np.empty((MINS, n), dtype=U64)
+    scratch = np.empty(len(sets), dtype=U64)
+    for j in range(MINS):
+        np.multiply(sets, _A[j], out=scratch)
+        np.add(scratch, _B[j], out=scratch)
+        np.minimum.reduceat(scratch, starts, out=mins[j])
+    bits = mix(mins + (np.arange(MINS, dtype=U64) * U64(0xD6E8FEB86659FD93))[:, None])
+    bits = (bits >> U64(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64)
     flips = np.bincount((bits + np.arange(n) * SKETCH_BITS).ravel(), minlength=n * SKETCH_BITS).reshape(n, SKETCH_BITS) & 1
     sketch = np.packbits(flips.astype(np.uint8), axis=1).view(np.int64)
-    keys = (mins.reshape(BANDS, ROWS, n) * _C[None, :, None]).sum(axis=1, dtype=U64)
+    keys = (mins[: BANDS * ROWS].reshape(BANDS, ROWS, n) * _C[None, :, None]).sum(axis=1, dtype=U64)
     keys = mix(keys + (np.arange(1, BANDS + 1, dtype=U64) * U64(0x9FB21C651E98DF25))[:, None])
     return f1.view(np.int64), f2.view(np.int64), sketch, np.ascontiguousarray(keys.T).view(np.int64)
 
@@ -111,11 +125,11 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.diff(at)
             some = n > 0
             f1, f2 = np.zeros(hi - lo, dtype=np.int64), np.zeros(hi - lo, dtype=np.int64)
-            sketch, keys = np.zeros((0, 8), dtype=np.int64), np.zeros((0, BANDS), dtype=np.int64)
+            sketch, keys = np.zeros((0, SKETCH_BITS // 64), dtype=np.int64), np.zeros((0, BANDS), dtype=np.int64)
             if some.any():
                 f1[some], f2[some], sketch, keys = signatures(sets, at[:-1][some])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(f1), pa.array(f2), _lists(sketch, some, 8), _lists(keys, some, BANDS)],
+                [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(f1), pa.array(f2), _lists(sketch, some, SKETCH_BITS // 64), _lists(keys, some, BANDS)],
                 names=["doc_id", "n", "f1", "f2", "sketch", "bands"],
             )
 
@@ -133,7 +147,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sketch_distance(a, b):
     """Population count of the XOR of two sketches."""
-    return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(1, 8)), F.bit_count(a[0].bitwiseXOR(b[0])))
+    differing = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(differing, F.lit(0), lambda s, x: s + x)
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -156,17 +171,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     nodes = signed.join(
         groups.where("node IS NOT NULL").select("node", F.col("f1").alias("g1"), F.col("f2").alias("g2")),
         (F.col("doc_id") == F.col("node")) & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")),
-    ).select("node", "sketch", "bands")
+    ).select("node", "n", "sketch", "bands")
     nodes = materialize(nodes, "near-nodes")
     limit = most_differing_bits(percent)
-    bands = nodes.select("node", F.explode("bands").alias("key"))
+    bands = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     hubs = bands.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
     crowded = materialize(bands.join(hubs.select("key", "hub"), "key"), "near-buckets")
 
-    sketches = nodes.select("node", "sketch")
-    sketch_a = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
-    sketch_b = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
-    near = sketch_distance(F.col("sa"), F.col("sb")) <= limit
+    sketches = nodes.select("node", "n", "sketch", "bands")
+    sketch_a = sketches.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    sketch_b = sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    sized = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    near = sized & (sketch_distance(F.col("sa"), F.col("sb")) <= limit)
     star = crowded.where("hub < node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     star = materialize(star.join(sketch_a, "a").join(sketch_b, "b").where(near).select("a", "b"), "near-star")
 
@@ -176,12 +192,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = materialize(confirm(star, sets, percent), "near-links")
     comps = materialize(connected_components(links), "near-components")
 
-    labelled = crowded.select("key", "node").join(comps, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    labelled = crowded.select("key", "band", "node").join(comps, "node", "left").withColumn("c", F.coalesce("component", "node"))
     mixed = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    rest = materialize(labelled.join(mixed, "key", "left_semi").join(sketches, "node").select("key", "node", "c", "sketch"), "near-rest")
-    one = rest.select("key", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("sketch").alias("sa"))
-    two = rest.select(F.col("key").alias("k2"), F.col("node").alias("b"), F.col("c").alias("cb"), F.col("sketch").alias("sb"))
-    more = one.join(two, (F.col("key") == F.col("k2")) & (F.col("ca") < F.col("cb")) & near).select("a", "b").distinct()
+    rest = materialize(labelled.join(mixed, "key", "left_semi").join(sketches, "node").select("key", "band", "node", "c", "n", "sketch", "bands"), "near-rest")
+    one = rest.select("key", "band", F.col("bands").alias("ba"), F.col("node").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    two = rest.select(F.col("key").alias("k2"), F.col("bands").alias("bb"), F.col("node").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    # a pair that shares several bands comes from the first of them alone
+    first = F.array_position(F.zip_with("ba", "bb", lambda x, y: x == y), True) == F.col("band") + 1
+    more = one.join(two, (F.col("key") == F.col("k2")) & (F.col("ca") < F.col("cb")) & near & first).select("a", "b").distinct()
     more = materialize(more.join(star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti"), "near-more")
     late = materialize(confirm(more, sets, percent), "near-late-links")
     if late.head() is not None:
