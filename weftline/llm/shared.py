@@ -64,7 +64,14 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
-    df.write.option("compression", "zstd").parquet(path)
+    """Write, then let go of the shuffle files of the job: nothing reads them again."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

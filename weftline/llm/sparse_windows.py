@@ -44,9 +44,13 @@ FIELDS = (("lead", "<u8"), ("ctx", "<u8"), ("key", "<i8"), ("ord", "<i8"), ("sta
 MULTI, HISTORY = 1, 2
 #: kinds of output rows: settled run; open run to take apart; source to take apart.
 SETTLED, OPEN, SOURCE = 0, 1, 2
+#: Contexts of one lead that are compared in one place; more are compared window by window.
+WIDE = 20_000
+#: Windows that are hashed at once where contexts are compared.
+AT_ONCE = 300_000
 
 PAYLOAD = "bucket int, records binary, settled binary"
-RUNS = "key long, ord long, start long, n int, kind int, bucket int, records binary"
+RUNS = "key long, ord long, start long, n int, kind int, lead long, bucket int, records binary"
 
 
 @dataclass(frozen=True)
@@ -136,12 +140,12 @@ def combine(r: dict[str, np.ndarray], policy: str) -> tuple[dict, dict]:
 
 
 def settle(r: dict[str, np.ndarray], policy: str) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Compares all records of a bucket: runs that are settled or must be taken apart, and their kind."""
+    """Compares all records of a bucket: runs that are settled or must be taken apart, their kind, and whether their lead is wide."""
     order = np.lexsort((r["ord"], r["ctx"], r["lead"]))
     r = take(r, order)
     n = len(r["lead"])
     if not n:
-        return r, np.zeros(0, dtype=np.int32)
+        return r, np.zeros(0, dtype=np.int32), np.zeros(0, dtype=bool)
     new_lead = np.r_[True, r["lead"][1:] != r["lead"][:-1]]
     new = new_lead | np.r_[True, r["ctx"][1:] != r["ctx"][:-1]]
     group, lead = np.cumsum(new) - 1, np.cumsum(new_lead) - 1
@@ -155,8 +159,17 @@ def settle(r: dict[str, np.ndarray], policy: str) -> tuple[dict[str, np.ndarray]
         first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
         later = r["ord"] > r["ord"][first]
         kind = np.where(later, np.where(history, -1, SETTLED), np.where(shared, np.where(history, SOURCE, OPEN), -1))
+    wide = np.bincount(lead[new])[lead] > WIDE
     keep = np.flatnonzero(kind >= 0)
-    return take(r, keep), kind[keep].astype(np.int32)
+    return take(r, keep), kind[keep].astype(np.int32), wide[keep]
+
+
+def groups(values: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of equal neighbours."""
+    if not len(values):
+        return []
+    edges = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]).tolist()
+    return list(zip(edges, [*edges[1:], len(values)], strict=True))
 
 
 def _send(r: dict[str, np.ndarray], policy: str, buckets: int, where: Callable) -> Iterator[pa.RecordBatch]:
@@ -166,8 +179,7 @@ def _send(r: dict[str, np.ndarray], policy: str, buckets: int, where: Callable)
     for k, part, to in ((0, send, where(send)), (1, done, (mix(done["key"].view(U64)) % U64(buckets)).astype(np.int64))):
         order = np.argsort(to, kind="stable")
         part, to = take(part, order), to[order]
-        edges = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else []
-        for lo, hi in zip(edges, [*edges[1:], len(to)], strict=True):
+        for lo, hi in groups(to):
             if k:  # position and length are all that is needed of these
                 at = slice(lo, hi)
                 body = b"".join([np.int64(hi - lo).tobytes(), *(np.ascontiguousarray(part[f][at], dtype=t).tobytes() for f, t in FIELDS[2:6])])
@@ -264,11 +276,13 @@ def each_bucket(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tup
         yield now, held
 
 
-def _run_rows(r: dict, kind: np.ndarray) -> pa.RecordBatch:
+def _run_rows(r: dict, kind: np.ndarray, wide: np.ndarray | None = None) -> pa.RecordBatch:
+    """Rows of RUNS; the lead is there for runs to take apart, unless it is a wide one."""
+    lead = pa.nulls(len(kind), pa.int64()) if wide is None else pa.array(r["lead"].view(np.int64), mask=wide | (kind == SETTLED))
     none = [pa.nulls(len(kind), pa.int32()), pa.nulls(len(kind), pa.binary())]
     return pa.RecordBatch.from_arrays(
-        [pa.array(r["key"]), pa.array(r["ord"]), pa.array(r["start"]), pa.array(r["n"]), pa.array(kind.astype(np.int32)), *none],
-        names=["key", "ord", "start", "n", "kind", "bucket", "records"],
+        [pa.array(r["key"]), pa.array(r["ord"]), pa.array(r["start"]), pa.array(r["n"]), pa.array(kind.astype(np.int32)), lead, *none],
+        names=["key", "ord", "start", "n", "kind", "lead", "bucket", "records"],
     )
 
 
@@ -280,10 +294,10 @@ def log_row(bucket: int, r: dict[str, np.ndarray]) -> pa.RecordBatch:
     new[1:] = (r["lead"][1:] != r["lead"][:-1]) | (r["ctx"][1:] != r["ctx"][:-1])
     r = take(r, new)
     r["flags"] = np.full(len(r["lead"]), HISTORY, dtype=np.uint8)
-    none = [pa.nulls(1, pa.int64())] * 3 + [pa.nulls(1, pa.int32())] * 2
+    none = [pa.nulls(1, pa.int64())] * 3 + [pa.nulls(1, pa.int32())] * 2 + [pa.nulls(1, pa.int64())]
     return pa.RecordBatch.from_arrays(
         [*none, pa.array([bucket], type=pa.int32()), pa.array([pack(r)], type=pa.binary())],
-        names=["key", "ord", "start", "n", "kind", "bucket", "records"],
+        names=["key", "ord", "start", "n", "kind", "lead", "bucket", "records"],
     )
 
 
@@ -295,9 +309,11 @@ def _compare(policy: str, log: bool = False):
             all_records = unpack(records)
             if log:
                 yield log_row(bucket, all_records)
-            r, kind = settle(all_records, policy)
+            r, kind, wide = settle(all_records, policy)
+            del all_records
             for lo in range(0, len(kind), 100_000):
-                yield _run_rows(take(r, slice(lo, lo + 100_000)), kind[lo : lo + 100_000])
+                at = slice(lo, lo + 100_000)
+                yield _run_rows(take(r, at), kind[at], wide[at])
             for p in settled:
                 key, ord_, start, n = _unsettle(p)
                 yield _run_rows({"key": key, "ord": ord_, "start": start, "n": n}, np.zeros(len(n), dtype=np.int32))
@@ -305,6 +321,98 @@ def _compare(policy: str, log: bool = False):
     return run
 
 
+def _contexts(spec: Spec, buckets: int):
+    """Open runs with the bytes that their windows cover.  Input: key, text, start[], n[], kind[], lead[]."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            data, offsets = text_buffer(batch.column(1))
+            lists = [batch.column(i) for i in (2, 3, 4, 5)]
+            counts = np.diff(np.asarray(lists[0].offsets))
+            start, n, kind, lead = (c.flatten().to_numpy(zero_copy_only=False) for c in lists)
+            doc = np.repeat(np.arange(batch.num_rows), counts)
+            to = ((lead.view(U64) >> U64(16)) % U64(buckets)).astype(np.int64)
+            begin = offsets[doc] + start
+            size = n.astype(np.int64) + spec.length - 1
+            order = np.lexsort((lead, to))
+            out: list[tuple[int, bytes]] = []
+            for lo, hi in groups(to[order]):
+                at = order[lo:hi]
+                body = b"".join(data[b : b + s].tobytes() for b, s in zip(begin[at].tolist(), size[at].tolist(), strict=True))
+                head = [np.int64(len(at)), lead[at], keys[doc[at]], start[at].astype(np.int64), n[at].astype(np.int32), kind[at].astype(np.uint8)]
+                out.append((int(to[at[0]]), b"".join([*(np.ascontiguousarray(h).tobytes() for h in head), body])))
+            if out:
+                none = pa.nulls(len(out), pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([o[0] for o in out], type=pa.int32()), pa.array([o[1] for o in out], type=pa.binary()), none],
+                    names=["bucket", "records", "settled"],
+                )
+
+    return run
+
+
+def _unpack_contexts(payloads: list, length: int):
+    """lead, key, start, n, kind of all runs, sorted by lead, and each one's payload and place in it."""
+    fields, where, place = [[] for _ in range(5)], [], []
+    for i, p in enumerate(payloads):
+        m, at = int(np.frombuffer(p, dtype=np.int64, count=1)[0]), 8
+        for f, t in enumerate(("<i8", "<i8", "<i8", "<i4", "u1")):
+            fields[f].append(np.frombuffer(p, dtype=t, count=m, offset=at))
+            at += fields[f][-1].nbytes
+        size = fields[3][-1].astype(np.int64) + length - 1
+        place.append(at + np.r_[0, np.cumsum(size)[:-1]])
+        where.append(np.full(m, i, dtype=np.int32))
+    lead, key, start, n, kind, where, place = (np.concatenate(x) for x in (*fields, where, place))
+    order = np.argsort(lead, kind="stable")
+    return tuple(x[order] for x in (lead, key, start, n, kind, where, place))
+
+
+def _compare_contexts(spec: Spec):
+    """Repeated windows of open runs, one bucket of leads after another, whole leads at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (payloads,) in each_bucket(batches, 1):
+            lead, key, start, n, kind, where, place = _unpack_contexts(payloads, spec.length)
+            views = [np.frombuffer(p, dtype=np.uint8) for p in payloads]
+            first = np.flatnonzero(np.r_[True, lead[1:] != lead[:-1]])
+            windows = np.r_[0, np.cumsum(n.astype(np.int64))]
+            lo = 0
+            while lo < len(lead):
+                # as many whole leads as fit, at least one
+                hi = int(np.searchsorted(windows, windows[lo] + AT_ONCE, "right")) - 1
+                k = int(np.searchsorted(first, hi, "right"))
+                hi = int(first[k - 1]) if k and first[k - 1] > lo else (int(first[k]) if k < len(first) else len(lead))
+                if windows[-1] - windows[lo] <= AT_ONCE:
+                    hi = len(lead)
+                s = slice(lo, hi)
+                size = n[s].astype(np.int64) + spec.length - 1
+                body = np.concatenate([views[w][p : p + z] for w, p, z in zip(where[s].tolist(), place[s].tolist(), size.tolist(), strict=True)])
+                base = np.r_[0, np.cumsum(size)[:-1]]
+                count = n[s].astype(np.int64)
+                owner = np.repeat(np.arange(hi - lo), count)
+                step = np.arange(len(owner)) - np.repeat(np.r_[0, np.cumsum(count)[:-1]], count)
+                prefix = Prefix(BYTE_VALUES[body])
+                h = prefix.hash(base[owner] + step, base[owner] + step + spec.length)
+                order = np.argsort(h, kind="stable")
+                same = h[order][1:] == h[order][:-1]
+                twice = np.zeros(len(h), dtype=bool)
+                twice[order[1:][same]] = True
+                twice[order[:-1][same]] = True
+                twice &= kind[s][owner] == OPEN
+                at = np.flatnonzero(twice)
+                if len(at):
+                    new = np.r_[True, (np.diff(at) != 1) | (owner[at[1:]] != owner[at[:-1]])]
+                    b = np.flatnonzero(new)
+                    length = np.diff(np.r_[b, len(at)])
+                    o = owner[at[b]]
+                    found = {"key": key[s][o], "ord": key[s][o], "start": start[s][o] + step[at[b]], "n": length.astype(np.int32)}
+                    yield _run_rows(found, np.zeros(len(b), dtype=np.int32))
+                lo = hi
+
+    return run
+
+
 def _take_apart(spec: Spec, buckets: int):
     """Windows of runs to take apart, as payload rows.  Input: key, ord, text, start[], n[], kind[]."""
     where = by_lead(buckets)
@@ -374,22 +482,38 @@ def exchange(payload: DataFrame, buckets: int) -> DataFrame:
 def repeated_runs(rows: DataFrame, runs: DataFrame, spec: Spec, buckets: int, sources: DataFrame | None = None) -> DataFrame:
     """key, start, n of all repeated windows, from the runs that a comparison gave.
 
+    Open runs of bytes travel with the bytes that they cover and are compared
+    lead by lead; those of leads with more than WIDE contexts, and open runs of
+    words, travel as hashes of their windows, which any bucket can take.
+
     sources: further rows (key, ord, text) that runs of kind SOURCE may refer to.
     """
-    apart = (
-        runs.where(F.col("kind") > SETTLED)
-        .groupBy("key", "ord")
-        .agg(F.collect_list(F.struct("start", "n", "kind")).alias("r"))
-        .select(F.col("key").alias("k"), F.col("ord").alias("o"), F.col("r.start").alias("starts"), F.col("r.n").alias("ns"), F.col("r.kind").alias("kinds"))
-    )
+    open_runs = runs.where(F.col("kind") > SETTLED)
     texts = rows.select("key", "ord", "text")
     if sources is not None:
         texts = texts.unionByName(sources.select("key", "ord", "text"))
-    joined = texts.join(apart, (F.col("key") == F.col("k")) & (F.col("ord") == F.col("o"))).select("key", "ord", "text", "starts", "ns", "kinds")
-    windows = exchange(joined.mapInArrow(_take_apart(spec, buckets), PAYLOAD), buckets).mapInArrow(_compare(spec.policy), RUNS)
-    windows = materialize(windows.drop("bucket", "records"), "windows")
     done = (F.col("kind") == SETTLED) | (F.col("kind") == SOURCE) if spec.policy == "anywhere" else F.col("kind") == SETTLED
-    return runs.where(done).unionByName(windows.where(F.col("kind") == SETTLED)).select("key", "start", "n")
+    out = runs.where(done).select("key", "start", "n")
+    narrow = F.col("lead").isNotNull() if spec.units == "bytes" else F.lit(False)
+    for chosen, kind_of in ((open_runs.where(narrow), "contexts"), (open_runs.where(~narrow), "windows")):
+        if chosen.head() is None:
+            continue
+        apart = (
+            chosen.groupBy("key", "ord")
+            .agg(F.collect_list(F.struct("start", "n", "kind", "lead")).alias("r"))
+            .select(F.col("key").alias("k"), F.col("ord").alias("o"), *[F.col(f"r.{c}").alias(c) for c in ("start", "n", "kind", "lead")])
+        )
+        joined = texts.join(apart, (F.col("key") == F.col("k")) & (F.col("ord") == F.col("o")))
+        if kind_of == "contexts":
+            payload = joined.select("key", "text", "start", "n", "kind", "lead").mapInArrow(_contexts(spec, buckets), PAYLOAD)
+            found = exchange(payload, buckets).mapInArrow(_compare_contexts(spec), RUNS)
+        else:
+            most = max(buckets, -(-int(chosen.agg(F.sum("n")).head()[0]) // BUCKET_RECORDS))
+            payload = joined.select("key", "ord", "text", "start", "n", "kind").mapInArrow(_take_apart(spec, most), PAYLOAD)
+            found = exchange(payload, most).mapInArrow(_compare(spec.policy), RUNS)
+        found = materialize(found.where(F.col("kind") == SETTLED).select("key", "start", "n"), kind_of)
+        out = out.unionByName(found)
+    return out
 
 
 def with_spans(rows: DataFrame, repeated: DataFrame, spec: Spec) -> DataFrame:

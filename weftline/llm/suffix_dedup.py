@@ -13,7 +13,7 @@ a frequent beginning is split over several buckets.  Each bucket is sorted by
 with equal first 96 bytes are equal in the splitters' order, so no pair of
 equals lies across a boundary; of the copies in one batch only one is sent,
 with a mark.  Suffixes that agree in their first 96 bytes but not in the rest
-are compared window by window in a second round.
+are compared window by window in a second round, next to each other.
 
 Defined cases: null texts are empty; matches never cross documents; rows that
 repeat a doc_id are documents of their own; texts under 200 bytes lose nothing;
