@@ -166,3 +166,8 @@ def test_streams_over_late_batches(spark, tmp_path, files_per_trigger):
     assert sorted((str(r["day"]), r["client_id"], r["tokens"], r["requests"]) for r in got.collect()) == [("2024-01-01", 1, 7, 1), ("2024-01-02", 1, 95, 2), ("2024-01-02", 2, 0, 1)]
     quota = streams.run_to_table(streams.quota_stream(streams.read_stream(spark, path, files_per_trigger), 100), ["client_id"], "q")
     assert {(r["client_id"], r["tokens"], r["status"]) for r in quota.collect()} == {(1, 95, "limited"), (2, 0, "active")}
+
+
+def test_clean_for_storage():
+    got = html.clean_for_storage('<html><head><style>x</style></head><body class="a&amp;b"><p>1 &lt; 2<br>3</p><script>var a = "<p>";</script><svg><g/></svg></body></html>')
+    assert got == '<html><head></head><body class="a&amp;b"><p>1 &lt; 2<br/>3</p></body></html>'

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import page_queries, retrieval_queries, stream_queries, text_queries, usage_queries
+from . import page_queries, retrieval_queries, settings_queries, stream_queries, text_queries, usage_queries
 
-_ALL = {**text_queries.QUERIES, **retrieval_queries.QUERIES, **usage_queries.QUERIES, **page_queries.QUERIES, **stream_queries.QUERIES}
+_ALL = {**text_queries.QUERIES, **retrieval_queries.QUERIES, **usage_queries.QUERIES, **page_queries.QUERIES, **stream_queries.QUERIES, **settings_queries.QUERIES}
 
 QUERIES = {name: q for name, (q, _) in _ALL.items()}
 ORACLE = {name: sql for name, (_, sql) in _ALL.items() if sql}
