@@ -92,7 +92,7 @@ def grounding(answer: Column, context: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(c) == 0), F.lit(0.0)).otherwise(found / F.size(a))
 
 
-def _any_phrase(text: Column, phrases: tuple[str, ...]) -> Column:
+def any_phrase(text: Column, phrases: tuple[str, ...]) -> Column:
     out = F.lit(False)
     for p in phrases:
         out = out | F.contains(text, F.lit(p))
@@ -110,7 +110,7 @@ def answer_quality(answer: Column, context: Column, grounded: Column) -> Column:
     score = (
         F.lit(1.0)
         - F.when(n < 4, F.lit(0.35)).when(n < 8, F.lit(0.15)).otherwise(z)
-        - F.when(_any_phrase(low, EMPTY_ANSWERS), F.lit(0.45)).otherwise(z)
+        - F.when(any_phrase(low, EMPTY_ANSWERS), F.lit(0.45)).otherwise(z)
         - F.least(F.lit(0.4), F.lit(0.15) * unsupported)
         - F.when(grounded < 0.2, F.lit(0.3)).when(grounded < 0.5, F.lit(0.15)).otherwise(z)
         - F.when(F.contains(low, F.lit("i don't know")) | F.contains(low, F.lit("not enough information")), F.lit(0.15)).otherwise(z)
@@ -137,7 +137,7 @@ def initial_mode(retrieval: Column, rerank: Column, context: Column, strict: boo
 def answer_mode(answer: Column, context: Column, confidence: Column, infer: bool = True) -> Column:
     low = F.lower(F.trim(answer))
     return (
-        F.when((low == "") | (F.trim(context) == "") | _any_phrase(low, FALLBACK_ANSWERS), "fallback")
+        F.when((low == "") | (F.trim(context) == "") | any_phrase(low, FALLBACK_ANSWERS), "fallback")
         .when(confidence >= 0.82, "complete")
         .when(confidence >= 0.65, "partial")
         .otherwise("guided" if infer else "partial")
@@ -146,4 +146,4 @@ def answer_mode(answer: Column, context: Column, confidence: Column, infer: bool
 
 def needs_recovery(answer: Column, confidence: Column, context: Column) -> Column:
     low = F.lower(F.trim(answer))
-    return (low == "") | _any_phrase(low, FALLBACK_ANSWERS) | ((confidence < 0.5) & (F.trim(context) != ""))
+    return (low == "") | any_phrase(low, FALLBACK_ANSWERS) | ((confidence < 0.5) & (F.trim(context) != ""))

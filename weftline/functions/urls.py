@@ -139,3 +139,28 @@ def snapshot_name(url: Column) -> Column:
     p = F.when(p == "", F.lit("home")).otherwise(p)
     name = F.concat(_part(url, 2), F.lit("_"), p, F.lit("_"), F.substring(F.sha2(url, 256), 1, 10), F.lit(".html"))
     return F.regexp_replace(name, r"[^\p{L}\p{N}._-]", "_")
+
+
+def gateway_url(url: Column) -> Column:
+    """The gateway's key of a URL: host folded without port, one trailing slash and the fragment go; what is no URL stays, trimmed."""
+    authority = F.regexp_replace(F.regexp_replace(host(url), "^[^@]*@", ""), r":\d*$", "")
+    p = F.when(path(url) == "", F.lit("/")).when(path(url) == "/", F.lit("/")).otherwise(F.regexp_replace(path(url), "/$", ""))
+    q = F.when(query(url) == "", F.lit("")).otherwise(F.concat(F.lit("?"), query(url)))
+    return F.when(is_valid_url(url), F.concat(scheme(url), F.lit("://"), F.regexp_replace(authority, r"^www\.", ""), p, q)).otherwise(F.trim(url))
+
+
+def domain_name(entry: Column) -> Column:
+    """The host in a list of domains: scheme, www., port and path go; blank gives empty."""
+    t = F.lower(F.trim(F.coalesce(entry, F.lit(""))))
+    full = F.when(t == "", F.lit("")).when(F.contains(t, F.lit("://")), t).otherwise(F.concat(F.lit("https://"), t))
+    return F.regexp_replace(host(full), r":\d*$", "")
+
+
+def domain_names(entries: Column) -> Column:
+    return F.array_distinct(F.filter(F.transform(F.coalesce(entries, F.array().cast("array<string>")), domain_name), lambda d: d != ""))
+
+
+def folder_name(name: Column, most: int = 40) -> Column:
+    """A name for a folder; null and empty give "site"."""
+    s = F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9._-]", "-"), r"\.+", "-")
+    return F.when(F.coalesce(name, F.lit("")) == "", F.lit("site")).otherwise(F.substring(F.regexp_replace(s, "^-+|-+$", ""), 1, most))

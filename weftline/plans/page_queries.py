@@ -46,9 +46,10 @@ def processing_summary(spark, sf):
     pages = table(spark, sf, "pages")
     docs = persisted(P.documents(pages).select("page_id", "document_hash"), "documents")
     kept = docs.groupBy("document_hash").agg(F.min("page_id"))
-    row = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    out = row(pages, "discovered").crossJoin(row(docs, "processed")).crossJoin(row(kept, "kept"))  # one row each
-    return out.select("discovered", "processed", (F.col("processed") - F.col("kept")).alias("duplicates"), (F.col("discovered") - F.col("processed")).alias("empty"))
+    named = lambda df, name: df.select(F.lit(name).alias("what"))
+    rows = named(pages, "discovered").union(named(docs, "processed")).union(named(kept, "kept"))
+    n = rows.agg(*[F.count_if(F.col("what") == c).alias(c) for c in ("discovered", "processed", "kept")])
+    return n.select("discovered", "processed", (F.col("processed") - F.col("kept")).alias("duplicates"), (F.col("discovered") - F.col("processed")).alias("empty"))
 
 
 def _doc_chunks(spark, sf):

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.discovery import discover
-from ..storage import table
+from ..storage import fresh_path, table
+from ..streaming import ingest as I
 from ..streaming import usage as S
 
 
@@ -22,6 +23,12 @@ def stream_dedup(spark, sf):
     return S.run_to_table(docs.withColumn("n", F.lit(1)), ["hash"], "dedup").select("hash")
 
 
+def stream_ingest(spark, sf):
+    path = fresh_path(spark, "ingest")
+    I.ingest(S.read_stream(spark, f"{sf}/pages.parquet"), path, f"{path}-checkpoint")
+    return I.index(spark, path).select("source_file", "chunk_id", "token_count", F.md5("content").alias("content_md5"))
+
+
 def discovery_levels(spark, sf):
     o = table(spark, sf, "lineitem")
     links = o.select((F.col("l_suppkey") % 500).alias("source"), (F.col("l_partkey") % 997).alias("target")).where("source <> target").distinct()
@@ -42,6 +49,7 @@ QUERIES = {
         SELECT client_id, day, tokens, CASE WHEN tokens >= 250 THEN 'cooldown' WHEN tokens * 100 >= 90 * 250 THEN 'limited' ELSE 'active' END AS status FROM l""",
     ),
     "stream_dedup": (stream_dedup, r"SELECT DISTINCT sha256(trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g'))) AS hash FROM documents"),
+    "stream_ingest": (stream_ingest, None),
     "discovery_levels": (
         discovery_levels,
         """WITH RECURSIVE l AS (SELECT DISTINCT (l_suppkey % 500)::VARCHAR AS s, (l_partkey % 997)::VARCHAR AS t FROM lineitem WHERE l_suppkey % 500 <> l_partkey % 997),
