@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from weftline.llm import decontamination, exact_dedup, mixing, near_dedup, sharding, sparse_windows, substring_dedup, suffix_dedup
+from weftline.llm.kernels import multikey_quicksort
 
 from .cases import by_id, documents, frame
 
@@ -352,3 +353,11 @@ def test_wide_leads_take_the_exact_way(docs, rows, units, length, gram, policy):
         rest = sparse_windows.with_spans(keyed, sparse_windows.repeated_runs(keyed, runs, spec, 4), spec)
         got = by_id(rest.mapInArrow(suffix_dedup._cut, suffix_dedup.SCHEMA), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
         assert got == sorted(suffix_brute(rows), key=repr)
+
+
+def test_multikey_quicksort_is_a_stable_order():
+    rng = np.random.default_rng(3)
+    for n, most in ((0, 5), (1, 5), (9000, 1), (9000, 3), (20000, 2**63)):
+        a, b, c = (rng.integers(0, most, n, dtype=np.uint64) for _ in range(3))
+        assert (multikey_quicksort(a, b, c) == np.lexsort((c, b, a))).all()
+        assert (multikey_quicksort(a) == np.argsort(a, kind="stable")).all()

@@ -170,3 +170,34 @@ def merge_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
     first = np.r_[True, s[1:] > top[:-1]]
     at = np.flatnonzero(first)
     return s[at], top[np.r_[at[1:] - 1, len(s) - 1]]
+
+
+#: Segments below this size are finished by a plain sort of the characters that are left.
+SMALL = 4096
+
+
+def multikey_quicksort(*characters: np.ndarray) -> np.ndarray:
+    """The stable order of strings whose k-th characters are ``characters[k]``.
+
+    A segment is parted by a pivot into strings with a smaller, an equal and a
+    greater character; only the equal ones go on to the next character, so a
+    character that many strings share is looked at once.
+    """
+    order = np.arange(len(characters[0]))
+    open_segments = [(0, len(order), 0)]
+    while open_segments:
+        lo, hi, depth = open_segments.pop()
+        if hi - lo < 2 or depth == len(characters):
+            continue
+        at = order[lo:hi]
+        if hi - lo <= SMALL:
+            order[lo:hi] = at[np.lexsort([c[at] for c in characters[: depth - 1 if depth else None : -1]])]
+            continue
+        c = characters[depth][at]
+        pivot = np.partition(c[:: len(c) // 63], 31)[31]
+        less, equal = c < pivot, c == pivot
+        a = lo + int(np.count_nonzero(less))
+        b = a + int(np.count_nonzero(equal))
+        order[lo:hi] = np.concatenate([at[less], at[equal], at[~(less | equal)]])
+        open_segments += [(lo, a, depth), (a, b, depth + 1), (b, hi, depth)]
+    return order

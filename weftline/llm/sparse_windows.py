@@ -11,7 +11,7 @@ other mostly share their anchor; such a run of windows is one record:
     key, ord, start, n    its document, first window and number of windows
 
 Records are combined within each batch, dealt into buckets by their lead,
-sorted there by (lead, ctx) and compared.  Equal (lead, ctx) settles whole
+sorted there by (lead, ctx), by multikey quicksort, and compared.  Equal (lead, ctx) settles whole
 runs.  Where different contexts share a lead, one record of each context is
 taken apart into its windows, which are compared in the same way.  Leads that
 occur once are done with: their windows occur once.
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import BYTE_VALUES, NOT_SPACE, U64, Prefix, chunks, mix, text_buffer, word_hashes
+from .kernels import BYTE_VALUES, NOT_SPACE, U64, Prefix, chunks, mix, multikey_quicksort, text_buffer, word_hashes
 from .shared import materialize
 
 #: Records that one bucket holds, about.
@@ -141,7 +141,7 @@ def combine(r: dict[str, np.ndarray], policy: str) -> tuple[dict, dict]:
 
 def settle(r: dict[str, np.ndarray], policy: str) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """Compares all records of a bucket: runs that are settled or must be taken apart, their kind, and whether their lead is wide."""
-    order = np.lexsort((r["ord"], r["ctx"], r["lead"]))
+    order = multikey_quicksort(r["lead"], r["ctx"], r["ord"])
     r = take(r, order)
     n = len(r["lead"])
     if not n:

@@ -9,7 +9,8 @@ bytes and the hash of the bytes that its windows cover.
 Splitters are sampled from the suffixes of a deterministic share of documents
 and range-partition all suffixes by their leading bytes, then by hash, so that
 a frequent beginning is split over several buckets.  Each bucket is sorted by
-(leading bytes, hash, covered bytes) and neighbours are compared.  Suffixes
+multikey quicksort, with the hash of the first 96 bytes, that of the covered
+bytes and the document as its characters, and neighbours are compared.  Suffixes
 with equal first 96 bytes are equal in the splitters' order, so no pair of
 equals lies across a boundary; of the copies in one batch only one is sent,
 with a mark.  Suffixes that agree in their first 96 bytes but not in the rest
