@@ -61,17 +61,21 @@ def _clean() -> None:
 
 #: Spark drops the shuffle files of a query that is done if this is set.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of one Arrow batch between the JVM and Python; a longer row is a batch of its own.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
-    """Write, then let go of the shuffle files of the job: nothing reads them again."""
+    """Write in small Arrow batches, then let go of the shuffle files of the job: nothing reads them again."""
     conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, "false")
+    before = {CLEANUP: conf.get(CLEANUP, "false"), BATCH: conf.get(BATCH)}
     conf.set(CLEANUP, "true")
+    conf.set(BATCH, BATCH_BYTES)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        conf.set(CLEANUP, before)
+        for k, v in before.items():
+            conf.set(k, v)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
