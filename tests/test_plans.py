@@ -1,6 +1,9 @@
 """Registered queries over whole texts, on tables made for it."""
 
-from weftline.plans import page_queries
+import re
+
+from weftline.functions.text import QUERY_STOPWORDS
+from weftline.plans import page_queries, text_queries
 
 FAR = "plain words " * 40
 
@@ -17,3 +20,20 @@ def test_guard_rails_read_whole_turns(spark, tmp_path):
     reasons = {r["conv_id"] // 8: r["reason"] for r in page_queries.guardrail_flags(spark, d).collect()}
     assert reasons == {0: "injection: ignore previous", 1: "role hijack: pretend", 2: "inappropriate language", 3: None}
     assert {r["conv_id"] // 8: r["profane"] for r in page_queries.profanity_flags(spark, d).collect()} == {0: False, 1: False, 2: True, 3: False}
+
+
+def variants(text):
+    """In plain Python."""
+    text = text.strip()
+    terms = [t for t in re.findall("[a-z0-9]+", text.lower()) if len(t) > 2 and t not in QUERY_STOPWORDS]
+    phrases = re.findall(r"\b[A-Z][\w-]*(?:\s+[A-Z][\w-]*)+\b", text)[:2] or ([" ".join(terms[:4])] if len(terms) >= 2 else [])
+    more = [v for p in phrases for v in (f"Find information about {p}", f"{p} profile", f"{p} engineer profile")]
+    return list(dict.fromkeys([text, *more])) if text else []
+
+
+def test_variants_of_whole_queries(spark, tmp_path):
+    texts = [FAR + "who is Shiv Joshi and who Ada Lovelace?", "Ann Bell, " + FAR + "then Cy Dorn or Eve Fox", FAR, "short", "  "]
+    d = made(spark, tmp_path, "benchmark", list(enumerate(texts)), "item_id long, text string")
+    got = [(r["item_id"], r["position"], r["variant"]) for r in text_queries.query_variants(spark, d).collect()]
+    assert sorted(got) == [(i, k, v) for i, t in enumerate(texts) for k, v in enumerate(variants(t))]
+    assert any(v == "Ada Lovelace profile" for _, _, v in got)

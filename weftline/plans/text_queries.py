@@ -57,7 +57,7 @@ def rerank_truncation(spark, sf):
 
 def query_variants(spark, sf):
     b = table(spark, sf, "benchmark")
-    return b.select("item_id", F.posexplode(T.query_variants(F.substring(F.col("text"), 1, 120))).alias("position", "variant"))
+    return b.select("item_id", F.posexplode(T.query_variants(F.col("text"))).alias("position", "variant"))
 
 
 def price_cleaning(spark, sf):
