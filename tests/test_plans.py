@@ -1,9 +1,10 @@
 """Registered queries over whole texts, on tables made for it."""
 
+import hashlib
 import re
 
 from weftline.functions.text import QUERY_STOPWORDS
-from weftline.plans import page_queries, text_queries
+from weftline.plans import page_queries, tenant_queries, text_queries
 
 FAR = "plain words " * 40
 
@@ -37,3 +38,19 @@ def test_variants_of_whole_queries(spark, tmp_path):
     got = [(r["item_id"], r["position"], r["variant"]) for r in text_queries.query_variants(spark, d).collect()]
     assert sorted(got) == [(i, k, v) for i, t in enumerate(texts) for k, v in enumerate(variants(t))]
     assert any(v == "Ada Lovelace profile" for _, _, v in got)
+
+
+def tidy(text):
+    """In plain Python."""
+    lines = "\n".join(line.rstrip() for line in text.replace("\r\n", "\n").split("\n"))
+    text = re.sub(r"\n{3,}", "\n\n", lines).strip()
+    return text + "\n" if text else ""
+
+
+def test_tidy_reads_whole_texts(spark, tmp_path):
+    texts = [FAR + "a \t\r\n\r\n\n\n" + FAR + "b  \nc", FAR + "d", FAR + "e", "  \n\n\n\nf", "", None]
+    d = made(spark, tmp_path, "documents", list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["markdown_md5"] for r in tenant_queries.tidy_texts(spark, d).collect()}
+    whole = ["# A  \r\n\r\n\r\n\r\n" + (t or "") + "  \r\n\n\n\nend" for t in texts]
+    assert got == {i: hashlib.md5(tidy(t).encode()).hexdigest() for i, t in enumerate(whole)}
+    assert got[1] != got[2]

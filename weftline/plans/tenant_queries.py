@@ -90,7 +90,7 @@ def gateway_names(spark, sf):
 
 
 def tidy_texts(spark, sf):
-    made = F.concat(F.lit("# A  \r\n\r\n\r\n\r\n"), F.substring(F.coalesce("text", F.lit("")), 1, 300), F.lit("  \r\n\n\n\nend"))
+    made = F.concat(F.lit("# A  \r\n\r\n\r\n\r\n"), F.coalesce("text", F.lit("")), F.lit("  \r\n\n\n\nend"))
     return table(spark, sf, "documents").select("doc_id", F.md5(T.tidy_markdown(made)).alias("markdown_md5"))
 
 
