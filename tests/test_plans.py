@@ -1,6 +1,7 @@
 """Registered queries over whole texts, on tables made for it."""
 
 import hashlib
+import json
 import re
 
 from weftline.functions.text import QUERY_STOPWORDS
@@ -54,3 +55,21 @@ def test_tidy_reads_whole_texts(spark, tmp_path):
     whole = ["# A  \r\n\r\n\r\n\r\n" + (t or "") + "  \r\n\n\n\nend" for t in texts]
     assert got == {i: hashlib.md5(tidy(t).encode()).hexdigest() for i, t in enumerate(whole)}
     assert got[1] != got[2]
+
+
+def test_entities_of_pages_as_they_are(spark, tmp_path):
+    offers = [{"price": "12,5", "priceCurrency": "aed", "availability": "in stock"}, {"name": "Big", "price": "20"}]
+    faq = {"@type": "FAQPage", "mainEntity": {"name": "Q?", "acceptedAnswer": {"text": "A"}}}
+    ld = json.dumps({"@graph": [{"@type": "Product", "name": "Pot", "offers": offers}, faq]})
+    pages = [
+        f'<script type="application/ld+json">{ld}</script>',
+        '<meta property="og:type" content="product"><meta property="og:title" content="Mug"><meta property="product:price:amount" content="AED 149.00">',
+        '<div itemscope itemtype="https://schema.org/Person"><i itemprop="name">Ann</i><i itemprop="jobTitle">Cook</i></div>',
+        "<p>none</p>",
+    ]
+    d = made(spark, tmp_path, "pages", [(i, "http://a.org/", f"<html><body>{p}</body></html>") for i, p in enumerate(pages)], "page_id long, url string, html string")
+    e = {r["page_id"]: json.loads(r["entities"]) for r in page_queries.page_entity_maps(spark, d).collect()}
+    assert (e[0]["product_name"], e[0]["product_price"], e[0]["product_currency"], e[0]["product_availability"]) == ("Pot", "12.5", "AED", "InStock")
+    assert json.loads(e[0]["faq_pairs"]) == [{"q": "Q?", "a": "A"}] and json.loads(e[0]["product_variants"])[1] == {"name": "Big", "price": "20"}
+    assert e[1] == {"entity_type": "Product", "product_name": "Mug", "product_price": "149.00"}
+    assert json.loads(e[2]["people"]) == [{"name": "Ann", "role": "Cook"}] and e[3] == {}

@@ -36,6 +36,11 @@ def page_entities(spark, sf):
     return e.select("page_id", *[F.element_at("entities", k).alias(k) for k in ("entity_type", "product_name", "product_price", "product_currency", "product_availability")])
 
 
+def page_entity_maps(spark, sf):
+    """All entity keys of the pages as they are, as JSON; page_entities is of made pages, for its SQL."""
+    return _parsed(spark, sf).select("page_id", F.to_json("entities").alias("entities"))
+
+
 def page_validation(spark, sf):
     p = table(spark, sf, "pages")
     parsed = P.parse_pages(p).join(p.select("page_id", "html"), "page_id")
@@ -126,6 +131,7 @@ QUERIES = {
         page_entities,
         "SELECT page_id, 'Product' AS entity_type, 'P' || page_id AS product_name, '12.5' AS product_price, 'AED' AS product_currency, 'InStock' AS product_availability FROM pages",
     ),
+    "page_entity_maps": (page_entity_maps, None),
     "page_validation": (page_validation, None),
     "processing_summary": (processing_summary, None),
     "chunk_documents": (chunk_documents, None),
