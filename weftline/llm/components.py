@@ -2,7 +2,8 @@
 
 Each round is two aggregations and two joins over the edges; its result is
 written to the shared folder, so lineage stays short and lost executors cost
-one round at most.  Nothing is collected but a count and a checksum per round.
+one round at most.  A node that most edges share is split over several tasks.
+Nothing is collected but a count and a checksum per round.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import join_split, materialize
 
 
 def _state(e: DataFrame) -> tuple:
@@ -29,9 +30,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while state[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = join_split(both.where("v > u"), low, "u", ["v"], state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = materialize(large, "cc-large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        small = join_split(large, low, "u", ["v"], state[0]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         e = materialize(small.where("u <> v").distinct(), "cc-round")
         now = _state(e)
         if now == state:

@@ -173,7 +173,7 @@ def merge_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 #: Segments below this size are finished by a plain sort of the characters that are left.
-SMALL = 4096
+SMALL = 256
 
 
 def multikey_quicksort(*characters: np.ndarray) -> np.ndarray:

@@ -2,19 +2,21 @@ r"""MinHash near-dedup with odd sketches.
 
 A document's set holds the hashes of its distinct 5-word shingles.  Documents
 with equal sets collapse into one node first.  Each node has 560 MinHash values,
-of which 140 make 28 bands of 5, and an odd sketch: a bitmap of 2048 bits in
+of which 384 make 48 bands of 8, and an odd sketch: a bitmap of 2048 bits in
 which each MinHash value flips one bit, so the population count of the XOR of
 two sketches grows with the number of values in which they differ and tells
 high similarities apart.  Nodes that share a band are candidates; sizes and the
 sketch drop those below the threshold; links are confirmed on full sets.
 
-At similarity 0.85 a pair misses all bands with probability (1-0.85^5)^28 <
-1e-7, and the sketch's limit lies five standard deviations off.
+At similarity 0.85 a pair misses all bands with probability (1-0.85^8)^48 <
+3e-7, and the sketch's limit lies five standard deviations off.
 
 No bucket emits all of its pairs.  Round one tests each member against the
 smallest node of its bucket.  Members that then share a component need no
 further test.  Round two takes only buckets that still hold several components
-and tests members of different ones, with the sketch inside the join condition.
+and tests members of different ones, with the sketch inside the join condition;
+bands are long, so texts of similarity 0.5 share a bucket in one of five cases,
+not in most.  Buckets and nodes that many rows share are split over tasks.
 
 Defined cases: no text or no words: an empty set, linked with nothing; fewer
 than five words: the whole sequence is the one shingle; a null doc_id is its
@@ -34,15 +36,17 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .kernels import NOT_SPACE, U64, Prefix, chunks, gram_hashes, mix, text_buffer, word_hashes
-from .shared import join_groups, materialize
+from .shared import KEY_ROWS, join_groups, join_split, materialize, unused
 
 SHINGLE = 5
-BANDS, ROWS = 28, 5
+BANDS, ROWS = 48, 8
 #: MinHash values in a sketch; the first BANDS * ROWS of them also make the bands.
 MINS = 560
 SKETCH_BITS = 2048
 #: Standard deviations by which a pair at the threshold may look less similar than it is.
 DEVIATIONS = 5
+#: Members of a bucket that one task tests against all others of that bucket.
+SPLIT_ROWS = 2000
 #: Links need PERCENT * union <= 100 * intersection.
 PERCENT = 85
 
@@ -155,7 +159,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
     """The pairs (a, b) whose full sets reach the threshold."""
     left = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
     right = sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
-    both = pairs.join(left, "a").join(right, "b")
+    total = pairs.count()
+    both = join_split(join_split(pairs, left, "a", ["b"], total), right, "b", ["a"], total)
     shared = F.size(F.array_intersect("ga", "gb"))
     union = F.size("ga") + F.size("gb") - shared
     return both.where(shared * 100 >= union * percent).select("a", "b")
@@ -175,16 +180,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     nodes = materialize(nodes, "near-nodes")
     limit = most_differing_bits(percent)
     bands = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    hubs = bands.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
-    crowded = materialize(bands.join(hubs.select("key", "hub"), "key"), "near-buckets")
+    hubs = bands.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count(F.lit(1)).alias("members")).where("hub < last")
+    hubs = materialize(hubs, "near-hubs")
+    most = hubs.agg(F.max("members")).head()[0] or 0
+    hub = hubs.select("key", "hub")
+    crowded = bands.join(hub, "key") if most <= KEY_ROWS else join_split(bands, hub, "key", ["node"], nodes.count() * BANDS)
+    crowded = materialize(crowded, "near-buckets")
 
     sketches = nodes.select("node", "n", "sketch", "bands")
     sketch_a = sketches.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     sketch_b = sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     sized = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
     near = sized & (sketch_distance(F.col("sa"), F.col("sb")) <= limit)
-    star = crowded.where("hub < node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    star = materialize(star.join(sketch_a, "a").join(sketch_b, "b").where(near).select("a", "b"), "near-star")
+    star = materialize(crowded.where("hub < node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "near-spokes")
+    star = join_split(star, sketch_a, "a", ["b"], star.count()).join(sketch_b, "b")
+    star = materialize(star.where(near).select("a", "b"), "near-star")
 
     members = materialize(crowded.select("node").distinct(), "near-members")
     wanted = texts.join(members.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
@@ -193,13 +203,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     comps = materialize(connected_components(links), "near-components")
 
     labelled = crowded.select("key", "band", "node").join(comps, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    labelled = materialize(labelled.drop("component"), "near-labelled")
     mixed = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    rest = materialize(labelled.join(mixed, "key", "left_semi").join(sketches, "node").select("key", "band", "node", "c", "n", "sketch", "bands"), "near-rest")
+    rest = join_split(labelled, mixed, "key", ["node"], labelled.count()).join(sketches, "node")
+    rest = materialize(rest.select("key", "band", "node", "c", "n", "sketch", "bands"), "near-rest")
     one = rest.select("key", "band", F.col("bands").alias("ba"), F.col("node").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    two = rest.select(F.col("key").alias("k2"), F.col("bands").alias("bb"), F.col("node").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    two = rest.select("key", F.col("bands").alias("bb"), F.col("node").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     # a pair that shares several bands comes from the first of them alone
     first = F.array_position(F.zip_with("ba", "bb", lambda x, y: x == y), True) == F.col("band") + 1
-    more = one.join(two, (F.col("key") == F.col("k2")) & (F.col("ca") < F.col("cb")) & near & first).select("a", "b").distinct()
+    pairs = join_split(one, two, "key", ["a"], rest.count(), SPLIT_ROWS)
+    more = pairs.where((F.col("ca") < F.col("cb")) & near & first).select("a", "b").distinct()
     more = materialize(more.join(star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti"), "near-more")
     late = materialize(confirm(more, sets, percent), "near-late-links")
     if late.head() is not None:
@@ -214,6 +227,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, all columns."""
-    kept = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    """One document of each component, all columns; of rows that repeat a doc_id (or, without one, a text) one stays."""
+    kept = near_duplicates(docs, percent).where("kept").select("doc_id").distinct()
+    kept_id, same = unused(docs.columns, "kept_id", "same")
+    kept = kept.select(F.col("doc_id").alias(kept_id))
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)), "left_semi")
+    rows = rows.withColumn(same, F.when(F.col("doc_id").isNull(), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
+    return rows.dropDuplicates(["doc_id", same]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -10,8 +10,8 @@ combines them, level by level, until few enough are left for one task.
 Only digests, sizes and counts are shuffled, never texts.
 
 Defined cases: a null text has the bytes and the group of an empty one (size
-1); rows with equal texts share a shard and are numbered by doc_id (nulls
-first); an empty table gives an empty result; a group larger than an even share
+1); rows with equal texts share a shard; rows of a shard are numbered by a hash
+cell, then by doc_id (nulls first); an empty table gives an empty result; a group larger than an even share
 fills a shard by itself.
 """
 
@@ -25,15 +25,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, text_or_empty
+from .shared import hot_size, join_groups, materialize, text_or_empty
 
 SHARDS = 16
 #: Groups in a block, and partial partitions that one task combines.
 BLOCK = 8192
 #: Rows that one numbering task sorts, about.
 SLOT_ROWS = 50_000
-#: At most this many groups can hold over 1/HOT_GROUPS of all rows.
-HOT_GROUPS = 10_000
 
 
 def difference(vectors: list[np.ndarray] | np.ndarray, shards: int) -> np.ndarray:
@@ -169,26 +167,24 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     groups = materialize(rows.groupBy("digest").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), "shard-sizes")
     placed = materialize(assign_groups(groups.select("digest", "bytes"), shards).join(groups.select("digest", "n"), "digest"), "shard-placed")
     total = rows.count()
-    # Groups of over 1/HOT_GROUPS of the rows: at most HOT_GROUPS, so broadcast.
-    hot = placed.where(F.col("n") > max(1000, total // HOT_GROUPS)).select("digest", F.col("shard").alias("hot"))
-    rows = rows.join(F.broadcast(hot), "digest", "left")
-    alone = F.concat(F.lit("-").cast("binary"), F.xxhash64("doc_id", "size").cast("string").cast("binary"))
-    rows = rows.withColumn("k", F.when(F.col("hot").isNull(), F.col("digest")).otherwise(alone))
-    cold = placed.select(F.col("digest").alias("k"), F.col("shard").alias("cold"))
-    rows = rows.join(cold, "k", "left").withColumn("shard", F.coalesce("hot", "cold")).drop("k", "hot", "cold", "digest")
-    return number(materialize(rows, "shard-dealt"), total, shards).select(
+    rows = join_groups(rows, placed, ["digest"], "n", total).drop("digest")
+    return number(materialize(rows.withColumn("cell", cell_of(total)), "shard-dealt"), shards).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 
 
-def number(rows: DataFrame, total: int, shards: int = SHARDS) -> DataFrame:
+def cell_of(total: int):
+    """A hash of the row; rows of a hot group may be all alike, so they are spread by their place."""
+    place = F.when(F.col("n") > hot_size(total), F.monotonically_increasing_id()).otherwise(F.lit(0).cast("long"))
+    return F.pmod(F.xxhash64("doc_id", "text_crc32", "size", place), F.lit(max(1, -(-total // SLOT_ROWS)))).cast("int")
+
+
+def number(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Adds ``slot``, gapless from 0 in each shard, without a task per shard.
 
-    Rows are dealt into cells within their shard; the cells' counts are
-    prefix-summed and rows are numbered within their cell.
+    Rows were dealt into cells; within each shard the cells' counts are
+    prefix-summed, and rows are numbered within their cell.
     """
-    cells = max(1, -(-total // SLOT_ROWS))
-    rows = rows.withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(cells)).cast("int"))
     counts = rows.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n"))
     upto = F.sum("n").over(Window.partitionBy("shard").orderBy("cell"))
     starts = counts.select(F.col("shard").alias("s"), F.col("cell").alias("c"), (upto - F.col("n")).alias("start"))

@@ -10,17 +10,20 @@ other mostly share their anchor; such a run of windows is one record:
     ctx    hash of all units that the run's windows cover
     key, ord, start, n    its document, first window and number of windows
 
-Records are combined within each batch, dealt into buckets by their lead,
-sorted there by (lead, ctx), by multikey quicksort, and compared.  Equal (lead, ctx) settles whole
+Records are combined within each batch, dealt into buckets, sorted there by
+(lead, ctx) and compared.  Runs of bytes also carry the bytes of their anchor,
+and these, not a hash, order and part them.  Equal (lead, ctx) settles whole
 runs.  Where different contexts share a lead, one record of each context is
-taken apart into its windows, which are compared in the same way.  Leads that
-occur once are done with: their windows occur once.
+taken apart into its windows, which are compared in turn.  Leads that occur
+once are done with: their windows occur once.
 
 Two policies say when a window is repeated: "anywhere" (it starts at another
 place) and "earlier" (it starts in a document of smaller ``ord``).
 
-Hot leads and windows are combined per batch before the shuffle, so a bucket
-gets one record of each batch at most for each distinct context.
+Equal contexts are combined per batch before the shuffle.  A lead that would
+fill a bucket by itself (found in a sample) is dealt over several by its
+contexts: equal contexts still meet, and that the lead has others is taken as
+given, so all of its runs are compared window by window.
 """
 
 from __future__ import annotations
@@ -40,13 +43,16 @@ from .shared import materialize
 BUCKET_RECORDS = 500_000
 FIELDS = (("lead", "<u8"), ("ctx", "<u8"), ("key", "<i8"), ("ord", "<i8"), ("start", "<i8"), ("n", "<i4"), ("flags", "u1"))
 #: flags: other records of this lead and context were combined into this one;
-#: it comes from an earlier batch and only serves as a source.
-MULTI, HISTORY = 1, 2
+#: it comes from an earlier batch and only serves as a source; its lead is dealt
+#: over several buckets.
+MULTI, HISTORY, HOT = 1, 2, 4
 #: kinds of output rows: settled run; open run to take apart; source to take apart.
 SETTLED, OPEN, SOURCE = 0, 1, 2
 #: Contexts of one lead that are compared in one place; more are compared window by window.
 WIDE = 20_000
-#: Windows that are hashed at once where contexts are compared.
+#: Documents that are sampled for frequent leads and splitters, at least.
+SAMPLE_DOCS = 5000
+#: Windows that are sorted at once where contexts are compared.
 AT_ONCE = 300_000
 
 PAYLOAD = "bucket int, records binary, settled binary"
@@ -103,20 +109,26 @@ def window_runs(values: np.ndarray, first: np.ndarray, spec: Spec):
     return doc[start], a[new], grams[a[new]], prefix.hash(start, last + spec.length), start, (last - start + 1).astype(np.int32)
 
 
+def fields_of(spec: Spec) -> tuple:
+    """Runs of bytes have the bytes of their anchor."""
+    return (*FIELDS, ("suffix", f"S{spec.gram}")) if spec.units == "bytes" else FIELDS
+
+
 def pack(r: dict[str, np.ndarray], at=slice(None)) -> bytes:
     n = len(r["lead"][at])
-    return b"".join([np.int64(n).tobytes(), *(np.ascontiguousarray(r[f][at], dtype=t).tobytes() for f, t in FIELDS)])
+    fields = (*FIELDS, ("suffix", r["suffix"].dtype)) if "suffix" in r else FIELDS
+    return b"".join([np.int64(n).tobytes(), *(np.ascontiguousarray(r[f][at], dtype=t).tobytes() for f, t in fields)])
 
 
-def unpack(payloads: list[bytes]) -> dict[str, np.ndarray]:
-    parts: dict[str, list] = {f: [] for f, _ in FIELDS}
+def unpack(payloads: list[bytes], fields: tuple = FIELDS) -> dict[str, np.ndarray]:
+    parts: dict[str, list] = {f: [] for f, _ in fields}
     for p in payloads:
         n, at = int(np.frombuffer(p, dtype=np.int64, count=1)[0]), 8
-        for f, t in FIELDS:
+        for f, t in fields:
             v = np.frombuffer(p, dtype=t, count=n, offset=at)
             parts[f].append(v)
             at += v.nbytes
-    return {f: np.concatenate(v) if v else np.zeros(0, dtype=t) for (f, t), v in zip(FIELDS, parts.values(), strict=True)}
+    return {f: np.concatenate(v) if v else np.zeros(0, dtype=t) for (f, t), v in zip(fields, parts.values(), strict=True)}
 
 
 def take(r: dict[str, np.ndarray], at) -> dict[str, np.ndarray]:
@@ -141,15 +153,22 @@ def combine(r: dict[str, np.ndarray], policy: str) -> tuple[dict, dict]:
 
 def settle(r: dict[str, np.ndarray], policy: str) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """Compares all records of a bucket: runs that are settled or must be taken apart, their kind, and whether their lead is wide."""
-    order = multikey_quicksort(r["lead"], r["ctx"], r["ord"])
-    r = take(r, order)
     n = len(r["lead"])
     if not n:
         return r, np.zeros(0, dtype=np.int32), np.zeros(0, dtype=bool)
-    new_lead = np.r_[True, r["lead"][1:] != r["lead"][:-1]]
+    if "suffix" in r:
+        suffix = r.pop("suffix")
+        order, lcp = suffix_order(suffix)
+        new_lead = lcp < suffix.dtype.itemsize
+        r = take(r, order)
+        r = take(r, np.lexsort((r["ord"], r["ctx"], np.cumsum(new_lead))))
+    else:
+        r = take(r, multikey_quicksort(r["lead"], r["ctx"], r["ord"]))
+        new_lead = np.r_[True, r["lead"][1:] != r["lead"][:-1]]
     new = new_lead | np.r_[True, r["ctx"][1:] != r["ctx"][:-1]]
     group, lead = np.cumsum(new) - 1, np.cumsum(new_lead) - 1
-    shared = np.bincount(lead[new])[lead] >= 2
+    hot = (r["flags"] & HOT) > 0
+    shared = (np.bincount(lead[new])[lead] >= 2) | hot
     history = (r["flags"] & HISTORY) > 0
     if policy == "anywhere":
         seen = np.bincount(group, weights=1 + (r["flags"] & MULTI))[group] >= 2
@@ -159,11 +178,33 @@ def settle(r: dict[str, np.ndarray], policy: str) -> tuple[dict[str, np.ndarray]
         first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
         later = r["ord"] > r["ord"][first]
         kind = np.where(later, np.where(history, -1, SETTLED), np.where(shared, np.where(history, SOURCE, OPEN), -1))
-    wide = np.bincount(lead[new])[lead] > WIDE
+    wide = (np.bincount(lead[new])[lead] > WIDE) | hot
     keep = np.flatnonzero(kind >= 0)
     return take(r, keep), kind[keep].astype(np.int32), wide[keep]
 
 
+def suffix_order(suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of equally long byte strings, by multikey quicksort, and the common bytes of each with the one before it."""
+    width = suffix.dtype.itemsize
+    words = suffix.view(">u8").reshape(len(suffix), width // 8)
+    characters = [words[:, k].astype(U64) for k in range(width // 8)]
+    order = multikey_quicksort(*characters)
+    return order, 8 * common_characters(characters, order)
+
+
+def common_characters(characters: list, order: np.ndarray) -> np.ndarray:
+    """Leading characters that each string has in common with its neighbour before it in ``order``; 0 for the first."""
+    n = len(order)
+    common = np.zeros(n, dtype=np.int64)
+    same = np.arange(1, n)
+    for c in characters:
+        same = same[c[order[same]] == c[order[same - 1]]]
+        if not len(same):
+            break
+        common[same] += 1
+    return common
+
+
 def groups(values: np.ndarray) -> list[tuple[int, int]]:
     """Ranges of equal neighbours."""
     if not len(values):
@@ -175,8 +216,11 @@ def groups(values: np.ndarray) -> list[tuple[int, int]]:
 def _send(r: dict[str, np.ndarray], policy: str, buckets: int, where: Callable) -> Iterator[pa.RecordBatch]:
     """A batch's records as payload rows, one per bucket that gets any."""
     send, done = combine(r, policy)
+    done.pop("suffix", None)
+    to, hot = where(send)
+    send["flags"] = np.where(hot, send["flags"] | np.uint8(HOT), send["flags"]).astype(np.uint8)
     out: dict[int, list[bytes]] = {}
-    for k, part, to in ((0, send, where(send)), (1, done, (mix(done["key"].view(U64)) % U64(buckets)).astype(np.int64))):
+    for k, part, to in ((0, send, to), (1, done, (mix(done["key"].view(U64)) % U64(buckets)).astype(np.int64))):
         order = np.argsort(to, kind="stable")
         part, to = take(part, order), to[order]
         for lo, hi in groups(to):
@@ -205,8 +249,51 @@ def _unsettle(p: bytes) -> list[np.ndarray]:
     return out
 
 
-def by_lead(buckets: int) -> Callable:
-    return lambda r: ((r["lead"] >> U64(16)) % U64(buckets)).astype(np.int64)
+def by_lead(buckets: int, hot: np.ndarray | None = None) -> Callable:
+    """Buckets by the hash of the lead; of the leads ``hot`` (sorted) by that of the context as well."""
+
+    def where(r: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        spread = np.zeros(len(r["lead"]), dtype=bool)
+        if hot is not None and len(hot):
+            at = np.searchsorted(hot, r["lead"])
+            at[at == len(hot)] = 0
+            spread = hot[at] == r["lead"]
+        h = np.where(spread, mix(r["lead"] ^ (r["ctx"] >> U64(1))), r["lead"])
+        return ((h >> U64(16)) % U64(buckets)).astype(np.int64), spread
+
+    return where
+
+
+def _sample_leads(spec: Spec):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffer(batch.column(0))
+            for lo, hi in chunks(offsets):
+                values, first = units_of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], spec.units)
+                got = window_runs(values, first, spec)
+                if got is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(got[2].view(np.int64)), pa.array(got[3].view(np.int64))], names=["lead", "ctx"])
+
+    return run
+
+
+def sampled(rows: DataFrame, buckets: int) -> tuple[DataFrame, int]:
+    """A share of the documents, by hash of their key, that grows with the corpus; and one in how many it is."""
+    share = max(1, rows.count() // max(SAMPLE_DOCS, 8 * buckets))
+    return rows.where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0), share
+
+
+def frequent_leads(rows: DataFrame, spec: Spec, buckets: int) -> list[int]:
+    """Leads with so many contexts that they would fill half a bucket or more, sorted as unsigned numbers.
+
+    At most two for each bucket can have that many; the sample holds about ten
+    records or more of each.
+    """
+    sample, share = sampled(rows, buckets)
+    least = max(8, BUCKET_RECORDS // 2 // share)
+    contexts = sample.select("text").mapInArrow(_sample_leads(spec), "lead long, ctx long").distinct()
+    found = contexts.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("lead")
+    return np.sort(np.array([r[0] for r in found.collect()], dtype=np.int64).view(U64)).view(np.int64).tolist()
 
 
 #: Bytes of text whose records are combined before they are sent.
@@ -242,7 +329,7 @@ def _records(spec: Spec, buckets: int, where: Callable):
                     }
                 )
                 if spec.units == "bytes":
-                    parts[-1]["head"] = heads(piece, anchor)
+                    parts[-1]["suffix"] = suffixes(piece, anchor, spec.gram)
                 if held >= COMBINE_BYTES:
                     yield from _send({f: np.concatenate([p[f] for p in parts]) for f in parts[0]}, spec.policy, buckets, where)
                     parts, held = [], 0
@@ -252,12 +339,9 @@ def _records(spec: Spec, buckets: int, where: Callable):
     return run
 
 
-def heads(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The first five bytes of the suffixes that start at ``at``, as the top of a uint64."""
-    out = np.zeros(len(at), dtype=U64)
-    for k in range(5):
-        out |= data[at + k].astype(U64) << U64(56 - 8 * k)
-    return out
+def suffixes(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """The first ``width`` bytes of the suffixes that start at ``at``."""
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, width)[at]).view(f"S{width}").ravel()
 
 
 def each_bucket(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[int, list[list[bytes]]]]:
@@ -293,7 +377,7 @@ def log_row(bucket: int, r: dict[str, np.ndarray]) -> pa.RecordBatch:
     new = np.ones(len(r["lead"]), dtype=bool)
     new[1:] = (r["lead"][1:] != r["lead"][:-1]) | (r["ctx"][1:] != r["ctx"][:-1])
     r = take(r, new)
-    r["flags"] = np.full(len(r["lead"]), HISTORY, dtype=np.uint8)
+    r["flags"] = HISTORY | (r["flags"] & HOT)
     none = [pa.nulls(1, pa.int64())] * 3 + [pa.nulls(1, pa.int32())] * 2 + [pa.nulls(1, pa.int64())]
     return pa.RecordBatch.from_arrays(
         [*none, pa.array([bucket], type=pa.int32()), pa.array([pack(r)], type=pa.binary())],
@@ -301,12 +385,12 @@ def log_row(bucket: int, r: dict[str, np.ndarray]) -> pa.RecordBatch:
     )
 
 
-def _compare(policy: str, log: bool = False):
+def _compare(policy: str, log: bool = False, fields: tuple = FIELDS):
     """Reduce side: payload rows, sorted by bucket, to runs (and rows of a log, if asked for)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, (records, settled) in each_bucket(batches, 2):
-            all_records = unpack(records)
+            all_records = unpack(records, fields)
             if log:
                 yield log_row(bucket, all_records)
             r, kind, wide = settle(all_records, policy)
@@ -368,8 +452,36 @@ def _unpack_contexts(payloads: list, length: int):
     return tuple(x[order] for x in (lead, key, start, n, kind, where, place))
 
 
+class _Character:
+    """The k-th eight bytes of strings that start at ``start``, as one big-endian number each."""
+
+    def __init__(self, words: np.ndarray, start: np.ndarray, shift: int):
+        self.words, self.start, self.shift = words, start, U64(shift)
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def __getitem__(self, at) -> np.ndarray:
+        return self.words[self.start[at]] >> self.shift
+
+
+def window_characters(body: np.ndarray, start: np.ndarray, length: int) -> list[_Character]:
+    """The strings of ``length`` bytes at ``start``, eight bytes to a character; they aren't copied."""
+    padded = np.zeros(len(body) + 8, dtype=np.uint8)
+    padded[: len(body)] = body
+    words = np.zeros(len(body) + 1, dtype=U64)
+    for k in range(8):
+        words |= padded[k : k + len(words)].astype(U64) << U64(56 - 8 * k)
+    return [_Character(words, start + k, 8 * max(0, k + 8 - length)) for k in range(0, length, 8)]
+
+
 def _compare_contexts(spec: Spec):
-    """Repeated windows of open runs, one bucket of leads after another, whole leads at once."""
+    """Repeated windows of open runs, one bucket of leads after another, whole leads at once.
+
+    The windows are suffixes, compared by their bytes: they are sorted by multikey
+    quicksort, and a window that has all of its bytes in common with a neighbour
+    is repeated.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, (payloads,) in each_bucket(batches, 1):
@@ -392,11 +504,10 @@ def _compare_contexts(spec: Spec):
                 count = n[s].astype(np.int64)
                 owner = np.repeat(np.arange(hi - lo), count)
                 step = np.arange(len(owner)) - np.repeat(np.r_[0, np.cumsum(count)[:-1]], count)
-                prefix = Prefix(BYTE_VALUES[body])
-                h = prefix.hash(base[owner] + step, base[owner] + step + spec.length)
-                order = np.argsort(h, kind="stable")
-                same = h[order][1:] == h[order][:-1]
-                twice = np.zeros(len(h), dtype=bool)
+                characters = window_characters(body, base[owner] + step, spec.length)
+                order = multikey_quicksort(*characters)
+                same = common_characters(characters, order)[1:] == len(characters)
+                twice = np.zeros(len(owner), dtype=bool)
                 twice[order[1:][same]] = True
                 twice[order[:-1][same]] = True
                 twice &= kind[s][owner] == OPEN
@@ -432,11 +543,11 @@ def _take_apart(spec: Spec, buckets: int):
                 old = np.repeat(kinds[d].values.to_numpy() == SOURCE, n)
                 if not len(at):
                     continue
-                prefix = Prefix(values)
                 parts.append(
                     {
-                        "lead": prefix.hash(at, at + spec.length),
-                        "ctx": np.zeros(len(at), dtype=U64),
+                        "lead": Prefix(values).hash(at, at + spec.length),
+                        # a second hash, so that windows are equal if 128 bits are
+                        "ctx": Prefix(mix(values ^ U64(0x5DEECE66D1CE4E5B))).hash(at, at + spec.length),
                         "key": np.full(len(at), keys[d]),
                         "ord": np.full(len(at), ords[d]),
                         "start": at,
@@ -476,15 +587,17 @@ def bucket_count(rows: DataFrame, spec: Spec) -> int:
 
 
 def exchange(payload: DataFrame, buckets: int) -> DataFrame:
-    return payload.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    """One partition for each bucket."""
+    return payload.repartitionById(buckets, "bucket").sortWithinPartitions("bucket")
 
 
 def repeated_runs(rows: DataFrame, runs: DataFrame, spec: Spec, buckets: int, sources: DataFrame | None = None) -> DataFrame:
     """key, start, n of all repeated windows, from the runs that a comparison gave.
 
     Open runs of bytes travel with the bytes that they cover and are compared
-    lead by lead; those of leads with more than WIDE contexts, and open runs of
-    words, travel as hashes of their windows, which any bucket can take.
+    lead by lead; those of hot leads and of leads with more than WIDE contexts,
+    and open runs of words, travel as hashes of their windows (two of 64 bits),
+    which any bucket can take.
 
     sources: further rows (key, ord, text) that runs of kind SOURCE may refer to.
     """

@@ -20,6 +20,7 @@ each other; extra columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernels import merge_spans, text_buffer
-from .shared import delete_path, scratch_path, write_parquet
+from .shared import Manifest, delete_path, scratch_path, write_parquet
 from .sparse_windows import (
+    HOT,
     PAYLOAD,
     RUNS,
     Spec,
@@ -39,6 +41,7 @@ from .sparse_windows import (
     by_lead,
     each_bucket,
     exchange,
+    frequent_leads,
     keyed,
     log_row,
     repeated_runs,
@@ -57,22 +60,44 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Log rows of several runs, sorted by bucket, to one log row per bucket."""
     for bucket, (records,) in each_bucket(batches, 1):
         r = unpack(records)
-        r["flags"] = np.zeros(len(r["lead"]), dtype=np.uint8)
+        r["flags"] &= np.uint8(HOT)
         yield log_row(bucket, r)
 
 
 class FingerprintIndex:
-    """Sorted immutable runs below one folder of the shared storage."""
+    """Sorted immutable runs below one folder of the shared storage.
 
-    def __init__(self, spark: SparkSession, buckets: int, path: str | None = None, most_runs: int = 8):
-        self.spark, self.buckets, self.most_runs = spark, buckets, most_runs
+    A manifest names the runs, the number of buckets and the frequent leads; it
+    is replaced in one step once a run is written, so a crash before that leaves
+    the index as it was.  Opening an index by its path goes on where the last
+    commit ended; ``buckets`` and ``hot`` hold for a fresh index only.
+    """
+
+    def __init__(self, spark: SparkSession, buckets: int = 8, path: str | None = None, most_runs: int = 8, hot: list[int] | None = None):
+        self.spark, self.most_runs = spark, most_runs
         self.path = path or scratch_path(spark, "fingerprints")
-        self.runs: list[str] = []
+        self.manifest = Manifest(spark, self.path)
+        state = self.manifest.load() or {"buckets": buckets, "hot": hot or [], "runs": [], "length": LENGTH, "anchor": ANCHOR}
+        if (state["length"], state["anchor"]) != (LENGTH, ANCHOR):
+            raise ValueError(f"{self.path} holds windows of another length")
+        self.state = state
         self.old: list[str] = []
-        self.made = 0
+
+    @property
+    def buckets(self) -> int:
+        return self.state["buckets"]
+
+    @property
+    def runs(self) -> list[str]:
+        return self.state["runs"]
+
+    def _commit(self, runs: list[str]) -> None:
+        state = self.state | {"runs": runs}
+        self.manifest.commit(state)
+        self.state = state
 
     def log(self) -> DataFrame:
-        rows = self.spark.read.schema(RUNS).parquet(*self.runs)
+        rows = self.spark.read.schema(RUNS).parquet(*[f"{self.path}/{r}" for r in self.runs])
         return rows.select("bucket", "records").where("records IS NOT NULL")
 
     def compare(self, rows: DataFrame, append: bool = True) -> DataFrame:
@@ -81,31 +106,33 @@ class FingerprintIndex:
         With ``append`` the batch becomes a run of the index; one pass writes
         both the matches and the sorted run.
         """
-        payload = rows.select("key", "ord", "text").mapInArrow(_records(SPEC, self.buckets, by_lead(self.buckets)), PAYLOAD)
+        where = by_lead(self.buckets, np.array(self.state["hot"], dtype=np.int64).view(np.uint64))
+        payload = rows.select("key", "ord", "text").mapInArrow(_records(SPEC, self.buckets, where), PAYLOAD)
         if self.runs:
             payload = payload.unionByName(self.log().withColumn("settled", F.lit(None).cast("binary")))
         found = exchange(payload, self.buckets).mapInArrow(_compare(SPEC.policy, append), RUNS)
-        self.made += 1
-        to = f"{self.path}/run-{self.made:05d}"
-        write_parquet(found, to)
+        name = f"run-{uuid.uuid4().hex}"
+        write_parquet(found, f"{self.path}/{name}")
         if append:
-            self.runs.append(to)
+            self._commit([*self.runs, name])
             if len(self.runs) > self.most_runs:
                 self.compact()
-        return self.spark.read.schema(RUNS).parquet(to).where("kind IS NOT NULL").drop("bucket", "records")
+        return self.spark.read.schema(RUNS).parquet(f"{self.path}/{name}").where("kind IS NOT NULL").drop("bucket", "records")
 
     def compact(self) -> None:
         """Merge all runs into one, which keeps the first document of each fingerprint."""
-        self.made += 1
-        to = f"{self.path}/run-{self.made:05d}"
-        write_parquet(exchange(self.log(), self.buckets).mapInArrow(_merge, RUNS), to)
+        if not self.runs:
+            return
+        name, old = f"run-{uuid.uuid4().hex}", self.runs
+        write_parquet(exchange(self.log(), self.buckets).mapInArrow(_merge, RUNS), f"{self.path}/{name}")
         # runs that were merged stay on disk while matches that lie beside them may be read
-        self.old, self.runs = self.old + self.runs, [to]
+        self._commit([name])
+        self.old += old
 
     def vacuum(self) -> None:
         """Delete the runs that were merged; matches of their batches can't be read afterwards."""
         for p in self.old:
-            delete_path(self.spark, p)
+            delete_path(self.spark, f"{self.path}/{p}")
         self.old = []
 
 
@@ -141,7 +168,9 @@ def remove_known(docs: DataFrame, index: FingerprintIndex | None = None, history
     batches (doc_id, text), read only to verify windows one by one.
     """
     rows = keyed(docs)
-    index = index or FingerprintIndex(docs.sparkSession, bucket_count(rows, SPEC))
+    if index is None:
+        buckets = bucket_count(rows, SPEC)
+        index = FingerprintIndex(docs.sparkSession, buckets, hot=frequent_leads(rows, SPEC, buckets))
     runs = index.compare(rows, append)
     sources = None if history is None else keyed(history)
     return with_spans(rows, repeated_runs(rows, runs, SPEC, index.buckets, sources), SPEC).mapInArrow(_strip, SCHEMA)

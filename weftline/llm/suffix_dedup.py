@@ -3,18 +3,20 @@ r"""Suffix-array dedup: removes every byte that a repeated 200-byte string cover
 A full suffix array of a large corpus takes many times its size, so the array is
 sparse: of all suffixes, those that start at an anchor are kept, about one in
 53 bytes, such that any two equal 200-byte strings hold the same anchor (see
-``sparse_windows``).  A suffix is its leading bytes, the hash of its first 96
-bytes and the hash of the bytes that its windows cover.
-
-Splitters are sampled from the suffixes of a deterministic share of documents
-and range-partition all suffixes by their leading bytes, then by hash, so that
-a frequent beginning is split over several buckets.  Each bucket is sorted by
-multikey quicksort, with the hash of the first 96 bytes, that of the covered
-bytes and the document as its characters, and neighbours are compared.  Suffixes
-with equal first 96 bytes are equal in the splitters' order, so no pair of
-equals lies across a boundary; of the copies in one batch only one is sent,
-with a mark.  Suffixes that agree in their first 96 bytes but not in the rest
-are compared window by window in a second round, next to each other.
+``sparse_windows``).  A suffix is its first 96 bytes, and the hash of the bytes
+that its windows cover.
+
+Splitters are sampled suffixes of a share of documents and range-partition all
+suffixes by these 96 bytes.  Each bucket is sorted by multikey quicksort, eight
+bytes to a character, and the common prefixes of neighbours part it into
+suffixes that agree in all 96 bytes; of these, equal contexts are settled.  All
+suffixes that agree in 96 bytes lie between the same two splitters, so no pair
+of equals lies across a boundary.  A suffix so frequent that it is several
+splitters at once has the buckets between them, dealt by context.  Of copies in
+one batch only one is sent, with a mark.  Suffixes that agree in 96 bytes but
+not in their contexts are sorted again in a second round, now the suffixes at
+all of their windows, and those that have 200 bytes in common with a neighbour
+are repeated.
 
 Defined cases: null texts are empty; matches never cross documents; rows that
 repeat a doc_id are documents of their own; texts under 200 bytes lose nothing;
@@ -24,14 +26,14 @@ extra columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import U64, chunks, merge_spans, text_buffer
+from .kernels import U64, chunks, merge_spans, mix, text_buffer
 from .shared import materialize
 from .sparse_windows import (
     PAYLOAD,
@@ -41,9 +43,11 @@ from .sparse_windows import (
     _records,
     bucket_count,
     exchange,
-    heads,
+    fields_of,
     keyed,
     repeated_runs,
+    sampled,
+    suffixes,
     units_of,
     window_runs,
     with_spans,
@@ -51,18 +55,12 @@ from .sparse_windows import (
 
 LENGTH = 200
 ANCHOR = 96
-#: Sampled suffixes per splitter, about, and most documents that are sampled.
-SAMPLES = 200
-SAMPLE_DOCS = 5000
+#: Sampled suffixes per splitter, about.
+SAMPLES = 64
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def suffix_order(head: np.ndarray, lead: np.ndarray) -> np.ndarray:
-    """One sortable number: the first five bytes, then the top of the hash."""
-    return (head & ~U64(0xFFFFFF)) | (lead >> U64(40))
-
-
 def _sample(spec: Spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,21 +70,37 @@ def _sample(spec: Spec):
                 values, first = units_of(piece, offsets[lo : hi + 1] - offsets[lo], "bytes")
                 got = window_runs(values, first, spec)
                 if got is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array(suffix_order(heads(piece, got[1]), got[2]).view(np.int64))], names=["s"])
+                    raw = suffixes(piece, got[1], spec.gram).tobytes()
+                    ends = np.arange(0, len(raw) + 1, spec.gram, dtype=np.int32)
+                    flat = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+                    yield pa.RecordBatch.from_arrays([flat, pa.array(got[3].view(np.int64))], names=["s", "ctx"])
 
     return run
 
 
 def splitters(rows: DataFrame, spec: Spec, buckets: int) -> np.ndarray:
-    """buckets - 1 numbers that part the suffixes evenly, from a bounded sample."""
-    n = rows.count()
-    share = max(1, n // SAMPLE_DOCS)
-    sample = rows.where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0).select("text").mapInArrow(_sample(spec), "s long")
-    # thinned to SAMPLES a bucket on the executors
+    """buckets - 1 suffixes that part all suffixes evenly, as numbers in order (big-endian), from about SAMPLES samples for each."""
+    sample = sampled(rows, buckets)[0].select("text").mapInArrow(_sample(spec), "s binary, ctx long")
+    # thinned on the executors; copies of one context are sent once, so they count once
+    sample = sample.distinct()
     size = max(1, sample.count() // (SAMPLES * buckets))
-    got = [r[0] for r in sample.where(F.pmod(F.xxhash64("s"), F.lit(size)) == 0).select("s").toLocalIterator()]
-    s = np.sort(np.array(got, dtype=np.int64).view(U64))
-    return s[(np.arange(1, buckets) * len(s)) // buckets] if len(s) else np.zeros(buckets - 1, dtype=U64)
+    got = [int.from_bytes(r[0], "big") for r in sample.where(F.pmod(F.xxhash64("s", "ctx"), F.lit(size)) == 0).select("s").toLocalIterator()]
+    s = sorted(got) or [0]
+    return np.array([s[i * len(s) // buckets] for i in range(1, buckets)], dtype=object)
+
+
+def by_suffix(splitters: np.ndarray, width: int) -> Callable:
+    """Buckets by the suffix; one that is several splitters has the buckets between them, by context."""
+    cut = np.array([x.to_bytes(width, "big") for x in splitters], dtype=f"S{width}")
+
+    def where(r: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        low, high = np.searchsorted(cut, r["suffix"], "left"), np.searchsorted(cut, r["suffix"], "right")
+        several = high - low
+        hot = several > 1
+        spread = low + 1 + (mix(r["ctx"]) % np.maximum(several, 1).astype(U64)).astype(np.int64)
+        return np.where(hot, spread, high), hot
+
+    return where
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,10 +139,10 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     spec = Spec("bytes", length, anchor, "anywhere")
     rows = keyed(docs)
     buckets = bucket_count(rows, spec)
-    cut = splitters(rows, spec, buckets)
-    where = lambda r: np.searchsorted(cut, suffix_order(r["head"], r["lead"]), "right")
+    where = by_suffix(splitters(rows, spec, buckets), spec.gram)
     payload = rows.select("key", "ord", "text").mapInArrow(_records(spec, buckets, where), PAYLOAD)
-    runs = materialize(exchange(payload, buckets).mapInArrow(_compare(spec.policy), RUNS).drop("bucket", "records"), "suffix-runs")
+    compared = exchange(payload, buckets).mapInArrow(_compare(spec.policy, fields=fields_of(spec)), RUNS)
+    runs = materialize(compared.drop("bucket", "records"), "suffix-runs")
     return rows, repeated_runs(rows, runs, spec, buckets), spec
 
 
