@@ -104,12 +104,10 @@ class DigestIndex:
         """digest, keep_id, keep_chars, group_size: one row for each digest, with all rows seen."""
         if not self.names:
             return self.spark.createDataFrame([], INDEX_SCHEMA).drop("is_new")
-        parts = [self._generation(n) for n in self.names]
-        if len(parts) == 1:
-            return parts[0].drop("is_new")
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.unionByName(p)
+        if len(self.names) == 1:
+            return self._generation(self.names[0]).drop("is_new")
+        # Not as bucketed tables: a union of these is taken to be bucketed itself, and gave a row for each generation.
+        rows = self.spark.read.schema(INDEX_SCHEMA).parquet(*[f"{self.path}/{n}" for n in self.names])
         first = F.max(F.when(F.col("is_new"), F.struct("keep_id", "keep_chars")))
         return (
             rows.groupBy("digest")

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from .kernels import chunks, text_buffer
 from .linear import apply, fit_logistic, fit_svm, sigmoid
+from .shared import unused
 
 MAX_TOXIC, MAX_CLEAN = 1500, 2000
 #: Characters of a subsequence, and the span that it may take in a word.
@@ -401,4 +402,5 @@ def _keep(model):
 def remove_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that aren't predicted toxic, all columns."""
     model = docs.sparkSession.sparkContext.broadcast(fit_model(docs, labels))
-    return docs.withColumn("__text", F.col("text")).mapInArrow(_keep(model), docs.schema)
+    (own,) = unused(docs.columns, "own")
+    return docs.withColumn(own, F.col("text")).mapInArrow(_keep(model), docs.schema)
