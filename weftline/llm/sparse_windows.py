@@ -583,7 +583,8 @@ def bucket_count(rows: DataFrame, spec: Spec) -> int:
     """Enough buckets for the records that the corpus will give."""
     total = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     per_record = (spec.length - spec.gram + 2) / 2 * (1 if spec.units == "bytes" else 6)
-    return max(8, int(total / per_record / BUCKET_RECORDS) + 1)
+    # a run of bytes is thrice as large as one of words
+    return max(8, int(total / per_record / BUCKET_RECORDS * (2 if spec.units == "bytes" else 1)) + 1)
 
 
 def exchange(payload: DataFrame, buckets: int) -> DataFrame:
