@@ -171,3 +171,25 @@ def test_streams_over_late_batches(spark, tmp_path, files_per_trigger):
 def test_clean_for_storage():
     got = html.clean_for_storage('<html><head><style>x</style></head><body class="a&amp;b"><p>1 &lt; 2<br>3</p><script>var a = "<p>";</script><svg><g/></svg></body></html>')
     assert got == '<html><head></head><body class="a&amp;b"><p>1 &lt; 2<br/>3</p></body></html>'
+
+
+def test_deep_nesting_ends_no_job():
+    """Pages and their JSON may nest as deep as they like."""
+    deep = "<div>" * 3000 + "<span>" * 3000 + "deep words"
+    assert html.to_markdown(html.main_content(html.parse(f"<body>{deep}</body>"))) == "deep words\n"
+    for data in ("[" * 100_000, '{"@type":"Product","name":' + "[" * 5000 + "]" * 5000 + "}", '{"a":' * 50_000):
+        page = f'<html><head><script type="application/ld+json">{data}</script><script type="application/ld+json">{{"@type":"Event","name":"E"}}</script></head></html>'
+        assert html.entities(html.parse(page))["org_name"] == "E"
+    lists = html.to_markdown(html.parse("<ul><li>x" * 500))
+    assert lists.count("- x") == 500
+
+
+def test_chunk_spans_by_hand():
+    """Overlap, a piece between runs, an idle heading, and a short end, on units of known size."""
+    unit = lambda n, kind="text": chunker.Block(" ".join(["w"] * n), (), kind)
+    spans = lambda units, pieces=None, **kw: list(chunker.spans(units, pieces or [False] * len(units), **{"largest": 13, "smallest": 3, "overlap": 4} | kw))
+    assert spans([unit(3), unit(3), unit(3), unit(3)]) == [(0, 3), (2, 4)]
+    assert spans([unit(3), unit(3), unit(3), unit(10)]) == [(0, 3), (3, 4)]
+    assert spans([unit(3), unit(8), unit(8), unit(3)], [False, True, True, False]) == [(0, 1), (1, 2), (2, 3), (3, 4)]
+    assert spans([unit(1, "heading"), unit(10)], largest=13) == [(1, 2)] and spans([unit(1, "heading")]) == []
+    assert spans([unit(3)] * 4, overlap=0) == [(0, 3), (3, 4)] and spans([]) == []

@@ -36,10 +36,10 @@ def _parsed(page_id, url: str | None, source: str | None) -> dict:
         "n_tags": sum(1 for _ in root.walk()) - 1,
         "has_frame": all(root.find(t) is not None for t in ("html", "head", "body")),
         "body_text": body.text() if body is not None else "",
+        **html.metadata(source or "", root, root),
     }
-    whole = html.parse(source)  # extraction changes its tree
-    content = html.main_content(whole)
-    return out | html.metadata(source or "", root, content) | {"text": content.text(), "markdown": html.to_markdown(content)}
+    content = html.main_content(root)  # from here on the tree is without boilerplate
+    return out | {"headings": html.headings(content), "text": content.text(), "markdown": html.to_markdown(content)}
 
 
 _ARROW = pa.schema(
@@ -51,17 +51,21 @@ _ARROW = pa.schema(
 )
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 200):
-            part = batch.slice(lo, 200)
-            rows = [_parsed(*r) for r in zip(*(c.to_pylist() for c in part.columns), strict=True)]
-            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+def _parse(with_html: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 200):
+                part = batch.slice(lo, 200)
+                rows = [_parsed(*r) for r in zip(*(c.to_pylist() for c in part.columns), strict=True)]
+                out = pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                yield out.append_column("html", part.column(2)) if with_html else out
+
+    return run
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """Metadata, main text, Markdown, entities and links of each page (page_id, url, html)."""
-    return pages.select("page_id", "url", "html").mapInArrow(_parse, PARSED)
+def parse_pages(pages: DataFrame, with_html: bool = False) -> DataFrame:
+    """Metadata, main text, Markdown, entities and links of each page (page_id, url, html), and its html if asked for."""
+    return pages.select("page_id", "url", "html").mapInArrow(_parse(with_html), PARSED + (", html string" if with_html else ""))
 
 
 def documents(pages: DataFrame, least_text: int = html.LEAST_TEXT) -> DataFrame:

@@ -42,8 +42,7 @@ def page_entity_maps(spark, sf):
 
 
 def page_validation(spark, sf):
-    p = table(spark, sf, "pages")
-    parsed = P.parse_pages(p).join(p.select("page_id", "html"), "page_id")
+    parsed = P.parse_pages(table(spark, sf, "pages"), with_html=True)
     return parsed.select("page_id", P.reject_reason(1000).alias("reason"))
 
 
