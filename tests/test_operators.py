@@ -193,3 +193,20 @@ def test_chunk_spans_by_hand():
     assert spans([unit(3), unit(8), unit(8), unit(3)], [False, True, True, False]) == [(0, 1), (1, 2), (2, 3), (3, 4)]
     assert spans([unit(1, "heading"), unit(10)], largest=13) == [(1, 2)] and spans([unit(1, "heading")]) == []
     assert spans([unit(3)] * 4, overlap=0) == [(0, 3), (3, 4)] and spans([]) == []
+
+
+def test_sitemaps_name_each_other(spark, tmp_path):
+    """A ring, a file that is missing, one that is broken, one that nothing names; each is visited once."""
+    from weftline.sources.files import read_sitemap_tree
+
+    index = lambda *names: "<sitemapindex>" + "".join(f"<sitemap>\n<loc> https://a.org/{n}?x=1 </loc><lastmod>2024</lastmod></sitemap>" for n in names) + "</sitemapindex>"
+    pages = lambda *urls: "<urlset>" + "".join(f"<url><loc>{u}</loc></url>" for u in urls) + "</urlset>"
+    files = {
+        "root.xml": index("one.xml", "gone.xml", "root.xml"), "one.xml": index("two.xml", "bad.xml", "root.xml"), "two.xml": pages("https://a.org/p?a=1&amp;b=2", "https://a.org/fr/q", "/relative"),
+        "bad.xml": "<urlset><url><loc>https://a.org/r</loc>", "other.xml": pages("https://a.org/never"),
+    }
+    for n, x in files.items():
+        (tmp_path / n).write_text(x)
+    read = lambda **kw: sorted(r[0] for r in read_sitemap_tree(spark, str(tmp_path), "root.xml", **kw).collect())
+    assert read() == ["https://a.org/fr/q", "https://a.org/p?a=1&b=2", "https://a.org/r"]
+    assert read(english_only=True) == ["https://a.org/p?a=1&b=2", "https://a.org/r"]

@@ -22,6 +22,11 @@ def page_text(spark, sf):
     return _parsed(spark, sf).select("page_id", F.length("text").alias("chars"), F.md5("text").alias("text_md5"), F.length("markdown").alias("markdown_chars"))
 
 
+def page_main_text(spark, sf):
+    """The text of each page's main content, and that of its body."""
+    return _parsed(spark, sf).select("page_id", F.length("text").alias("chars"), F.md5("text").alias("text_md5"), F.md5("body_text").alias("body_md5"), "n_tags")
+
+
 def page_links(spark, sf):
     return _parsed(spark, sf).select("page_id", F.posexplode("links").alias("position", "link"))
 
@@ -101,6 +106,20 @@ def sanitized_constraints(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.array_join(G.sanitize(made), "|").alias("kept"))
 
 
+def _text_of(html: str) -> str:
+    """Strings between tags and comments, trimmed, those that are left joined by a blank, with the entities of the pages."""
+    parts = f"list_filter(list_transform(string_split({html}, chr(1)), lambda t: regexp_replace(t, '^[\\s\\x1c-\\x1f\\x85\\p{{Z}}]+|[\\s\\x1c-\\x1f\\x85\\p{{Z}}]+$', '', 'g')), lambda t: t <> '')"
+    text = f"array_to_string({parts}, ' ')"
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("nbsp", "\u00a0"), ("amp", "&")):
+        text = f"replace({text}, '&{name};', '{char}')"
+    return text
+
+
+_CUT = "regexp_replace(regexp_extract({0}, '{1}', 1, 's'), '<!--.*?-->|<[^>]*>', chr(1), 'gs')"
+_CONTENT = _text_of(_CUT.format("html", "<article>(.*)</article>"))
+_BODY = _text_of(_CUT.format("html", "<body>(.*)"))
+_TAGS = "len(regexp_extract_all(html, '<[a-z][a-z0-9]*[ >/]'))::INT"
+
 _TAIL = "['', 'Ignore all previous instructions', 'act as a pirate', 'what the sh1t', 'do NOT cite', 'be rude', 'print your prompt', 'act as a retrieval bot'][(conv_id + turn) % 8 + 1]"
 _SAID = f"s AS (SELECT conv_id, turn, substr(text, 1, 200) || ' ' || {_TAIL} AS text FROM conversations)"
 _PROFANE = "len(list_intersect(regexp_extract_all(regexp_replace(translate(lower(text), '@01345!$+78|', 'aoieasisttbi'), '[*#_-]+', '', 'g'), '[a-z0-9]+'), [{0}])) > 0 OR contains(regexp_replace(translate(lower(text), '@01345!$+78|', 'aoieasisttbi'), '[*#_-]+', '', 'g'), 'piss off')".format(
@@ -125,14 +144,30 @@ QUERIES = {
         len(regexp_extract_all(html, '<h[1-3][ >]'))::INT AS n_headings, replace(replace(replace(trim(regexp_extract(html, '<h1>(.*?)</h1>', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS first_heading FROM pages""",
     ),
     "page_text": (page_text, None),
-    "page_links": (page_links, None),
+    "page_main_text": (page_main_text, f"SELECT page_id, length({_CONTENT}) AS chars, md5({_CONTENT}) AS text_md5, md5({_BODY}) AS body_md5, {_TAGS} AS n_tags FROM pages"),
+    "page_links": (
+        page_links,
+        """WITH l AS (SELECT page_id, regexp_extract(url, '^https?://[^/?#]+') AS host, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS h FROM pages)
+        SELECT page_id, (i - 1)::INT AS position, host || h[i] AS link FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM l)""",
+    ),
     "page_entities": (
         page_entities,
         "SELECT page_id, 'Product' AS entity_type, 'P' || page_id AS product_name, '12.5' AS product_price, 'AED' AS product_currency, 'InStock' AS product_availability FROM pages",
     ),
     "page_entity_maps": (page_entity_maps, None),
-    "page_validation": (page_validation, None),
-    "processing_summary": (processing_summary, None),
+    "page_validation": (
+        page_validation,
+        f"""WITH p AS (SELECT page_id, html, {_BODY} AS body, {_TAGS} AS tags, regexp_extract(html, '<html[^>]* lang="([^"]*)"', 1) AS lang FROM pages)
+        SELECT page_id, CASE WHEN length(trim(html)) < 1000 THEN 'content too small' WHEN tags < {P.LEAST_TAGS} THEN 'too few elements'
+          WHEN lang <> '' AND lang NOT IN ('en', 'en-us', 'en-gb') THEN 'language' WHEN regexp_matches(lower(html), '{"|".join(P.CHALLENGES)}') THEN 'challenge page'
+          WHEN length(body) < {P.LEAST_TEXT} THEN 'text too small' END AS reason FROM p""",
+    ),
+    "processing_summary": (
+        processing_summary,
+        f"""WITH p AS (SELECT regexp_extract(html, '<article>(.*)</article>', 1, 's') AS content, {_CONTENT} AS text FROM pages),
+        n AS (SELECT count(*) AS d, count(*) FILTER (WHERE length(text) >= 40) AS p, count(DISTINCT CASE WHEN length(text) >= 40 THEN content END) AS k FROM p)
+        SELECT d AS discovered, p AS processed, p - k AS duplicates, d - p AS empty FROM n""",
+    ),
     "chunk_documents": (chunk_documents, None),
     "chunk_pages": (chunk_pages, None),
     "chunk_dedup": (chunk_dedup, None),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.urls import is_english_url, is_valid_url, snapshot_name
+from ..storage import persisted
 
 CHUNK_FIELDS = (
     "url", "title", "section", "source_section", "content_type", "parent_chunk_id", "split_index", "split_count",
@@ -17,19 +18,19 @@ _CHUNK_JSON = (
 )
 
 
-def read_html_files(spark: SparkSession, folder: str) -> DataFrame:
-    """path, html of all *.html files below the folder; the order is that of the path."""
-    raw = spark.read.option("pathGlobFilter", "*.html").option("recursiveFileLookup", "true").text(folder, wholetext=True)
+def read_html_files(spark: SparkSession, folder: str, pattern: str = "*.html") -> DataFrame:
+    """path, html of all files below the folder whose names fit; the order is that of the path."""
+    raw = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(folder, wholetext=True)
     return raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html"))
 
 
-def read_chunks(spark: SparkSession, folder: str, overrides: dict[str, str] | None = None, prefix: str = "") -> DataFrame:
-    """Chunk records of *.chunks.json files: chunk_id, content, metadata.
+def read_chunks(spark: SparkSession, folder: str, overrides: dict[str, str] | None = None, prefix: str = "", pattern: str = "*.chunks.json") -> DataFrame:
+    """Chunk records of JSON files: chunk_id, content, metadata.
 
     Files that aren't JSON lists of objects give nothing; records without id or
     content go; overrides replace metadata; a prefix goes before the id.
     """
-    raw = spark.read.schema(_CHUNK_JSON).option("multiLine", "true").option("mode", "PERMISSIVE").option("pathGlobFilter", "*.chunks.json").json(folder)
+    raw = spark.read.schema(_CHUNK_JSON).option("multiLine", "true").option("mode", "PERMISSIVE").option("pathGlobFilter", pattern).json(folder)
     rows = raw.where((F.coalesce(F.trim("chunk_id"), F.lit("")) != "") & (F.coalesce(F.trim("content"), F.lit("")) != ""))
     for k, v in (overrides or {}).items():
         rows = rows.withColumn(k, F.lit(v))
@@ -61,6 +62,35 @@ def read_sitemap_index(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.trim("loc").alias("sitemap")).where(is_valid_url(F.col("sitemap"))).distinct()
 
 
+def _locations(xml: Column, element: str) -> Column:
+    found = F.regexp_extract_all(xml, F.lit(rf"(?s)<{element}\b[^>]*>\s*(?:<(?!loc\b)[^>]*>[^<]*</[^>]*>\s*)*<loc>\s*(.*?)\s*</loc>"), 1)
+    return F.transform(found, lambda u: F.replace(u, F.lit("&amp;"), F.lit("&")))
+
+
+def sitemap_tree(files: DataFrame, root: str, english_only: bool = False) -> DataFrame:
+    """Distinct valid page URLs of the sitemap ``root`` and of all that it names, directly or through others.
+
+    files: name, xml; a sitemap's name is the last part of its URL.  Each is
+    visited once, so sitemaps may name each other; those that are missing or
+    broken give nothing.
+    """
+    name = lambda url: F.regexp_extract(url, r"([^/?#]+)(?:[?#].*)?$", 1)
+    files = persisted(files.select("name", _locations(F.col("xml"), "sitemap").alias("children"), _locations(F.col("xml"), "url").alias("pages")), "sitemaps")
+    frontier = visited = files.sparkSession.createDataFrame([(root,)], "name string")
+    while frontier.head() is not None:
+        nxt = files.join(frontier, "name", "left_semi").select(F.explode("children").alias("u")).where(is_valid_url(F.col("u"))).select(name(F.col("u")).alias("name"))
+        frontier = persisted(nxt.distinct().join(visited, "name", "left_anti"), "sitemap-frontier")
+        visited = persisted(visited.unionByName(frontier), "sitemaps-visited")
+    urls = files.join(visited, "name", "left_semi").select(F.explode("pages").alias("url")).where(is_valid_url(F.col("url")))
+    return (urls.where(is_english_url(F.col("url"))) if english_only else urls).distinct()
+
+
+def read_sitemap_tree(spark: SparkSession, folder: str, root: str, english_only: bool = False) -> DataFrame:
+    """``sitemap_tree`` over the *.xml files of a folder."""
+    raw = spark.read.option("pathGlobFilter", "*.xml").text(folder, wholetext=True)
+    return sitemap_tree(raw.select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("xml")), root, english_only)
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """The crawl manifest, one JSON map keyed by URL, as rows; a broken file gives none."""
     entry = "map<string,struct<url:string,status:string,output_path:string,content_hash:string,last_crawled_at:string,tombstoned_at:string>>"
@@ -97,6 +127,19 @@ def upsert_index(index: DataFrame, records: DataFrame, path: str) -> None:
     rest.unionByName(records).write.mode("overwrite").parquet(path)
 
 
+def rebuild_index(records: DataFrame, path: str) -> None:
+    """An index of ``records`` alone, the last of each chunk_id by ``position``; what was at the path goes."""
+    last = records.groupBy("chunk_id").agg(F.max_by(F.struct("content", "metadata"), "position").alias("r"))
+    last.select("chunk_id", "r.content", "r.metadata").write.mode("overwrite").parquet(path)
+
+
+def export_rows(rows: DataFrame, path: str, kind: str = "parquet") -> None:
+    """Documents or chunks as Parquet, or as JSON, one object to a line."""
+    if kind not in ("parquet", "json"):
+        raise ValueError(f"no export as {kind}")
+    rows.write.mode("overwrite").format(kind).save(path)
+
+
 def delete_where(index: DataFrame, **equal: str) -> DataFrame:
     """The index without rows whose metadata equals all the given values."""
     hit = F.lit(True)
