@@ -19,8 +19,9 @@ the kernel expansion is linear in subsequences.  A word costs a few table
 lookups per character.  A document's score is a logistic calibration of its
 strongest words and of the mass of positive ones.
 
-Bounds: the fit uses at most MAX_TOXIC toxic and MAX_CLEAN clean labelled rows,
-taken by hash of their id.  Every whole text is scored.
+Bounds: the fit uses at most MAX_TOXIC toxic and MAX_CLEAN clean labelled rows
+of at most MAX_TEXT bytes each, taken by hash of their id, so what reaches the
+driver is bounded in bytes.  Every whole text is scored.
 
 Defined cases: null and empty texts score like a text without any marked word;
 contradictory labels of one document count as toxic; no usable labels give
@@ -42,6 +43,8 @@ from .linear import apply, fit_logistic, fit_svm, sigmoid
 from .shared import unused
 
 MAX_TOXIC, MAX_CLEAN = 1500, 2000
+#: Bytes of a text in the fit; longer ones are scored, but not learned from.
+MAX_TEXT = 32_768
 #: Characters of a subsequence, and the span that it may take in a word.
 TUPLE, SPAN = 4, 6
 DECAY = 0.7
@@ -344,7 +347,8 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 11) -> Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int]) -> list:
-    """At most ``most[c]`` labelled rows (text, label) of each class, by hash of the id, outside of the held-out fold."""
+    """At most ``most[c]`` labelled rows (text, label) of each class, by hash of the id, outside of the held-out fold; no text over MAX_TEXT bytes."""
+    docs = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= MAX_TEXT)
     usable = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != 0))
         .groupBy("doc_id")
