@@ -66,6 +66,17 @@ def shingles(text: Column, size: int = 5) -> Column:
     return let(words(F.lower(text)), runs)
 
 
+def shingle_hashes(text: Column, size: int = 5) -> Column:
+    """64-bit hashes of the shingles of a text, each once: one pass, and no string is built for a shingle."""
+
+    def runs(w: Column) -> Column:
+        n = F.size(w)
+        every = F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.xxhash64(F.slice(w, i, F.lit(size))))
+        return F.when(n == 0, F.array().cast("array<bigint>")).when(n < size, F.array(F.xxhash64(w))).otherwise(F.array_distinct(every))
+
+    return let(words(F.lower(text)), runs)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two sets: 1 if both are empty, 0 if one is."""
     shared = F.size(F.array_intersect(a, b))

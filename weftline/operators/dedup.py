@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import content_hash, normalize, shingles
+from ..functions.text import content_hash, normalize, shingle_hashes
 from ..storage import persisted
 
 
@@ -39,7 +39,7 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.85, size: int = 5) -> Da
     """
     base = docs.select("doc_id", normalize(F.col("text")).alias("t"))
     base = base.groupBy(F.sha2("t", 256).alias("h")).agg(F.min_by("t", "doc_id").alias("t"), F.min("doc_id").alias("id"))
-    sets = persisted(base.select("id", F.transform(shingles(F.col("t"), size), lambda s: F.xxhash64(s)).alias("s")).where(F.size("s") > 0), "shingle-sets")
+    sets = persisted(base.select("id", shingle_hashes(F.col("t"), size).alias("s")).where(F.size("s") > 0), "shingle-sets")
     each = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("g"))
     counts = each.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     ranked = each.join(counts, "g", "left").groupBy("id", "n").agg(

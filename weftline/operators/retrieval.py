@@ -22,39 +22,106 @@ ROWS = 2048
 HITS = "query_id long, chunk_id long, distance double"
 
 
+#: Labels whose nearest rows a task holds at once; beyond that it sends what it has and begins anew.
+LABELS = 256
+
+
+class _Best:
+    """The k nearest rows so far of each query."""
+
+    def __init__(self, ids: list, queries: np.ndarray, k: int):
+        self.ids, self.queries, self.k = ids, queries, k
+        self.d = np.full((len(ids), 0), np.inf)
+        self.i = np.zeros((len(ids), 0), dtype=np.int64)
+
+    def add(self, chunk: np.ndarray, x: np.ndarray, other: np.ndarray | None = None) -> None:
+        """other: pairs of query and row that don't count."""
+        # exact differences, a few queries at a time: no cancellation
+        d = np.empty((len(self.ids), len(chunk)))
+        for q in range(len(self.ids)):
+            d[q] = ((x - self.queries[q]) ** 2).sum(axis=1)
+        d = np.round(d, 6)
+        if other is not None:
+            d[other] = np.inf
+        d = np.concatenate([self.d, d], axis=1)
+        i = np.concatenate([self.i, np.tile(chunk, (len(self.ids), 1))], axis=1)
+        order = np.lexsort((i, d), axis=1)[:, : self.k]
+        self.d, self.i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+
+    def rows(self, label=None) -> Iterator[pa.RecordBatch]:
+        found = np.isfinite(self.d)
+        if found.any():
+            columns = [pa.array(np.repeat(self.ids, found.sum(axis=1))), pa.array(self.i[found]), pa.array(self.d[found])]
+            names = ["query_id", "chunk_id", "distance"]
+            if label is not None:
+                columns, names = [*columns, pa.array(np.full(len(columns[0]), label, dtype=np.int32))], [*names, "label"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """chunk_id, vectors and labels, ROWS at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, ROWS):
+            part = batch.slice(lo, ROWS)
+            x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+            yield part.column(0).to_numpy(zero_copy_only=False), x, part.column(2).to_numpy(zero_copy_only=False)
+
+
 def _nearest(block, k: int, same_label: bool):
-    """Per batch, the k nearest rows of each query: what leaves a task is bounded by queries, not rows."""
+    """Per task, the k nearest rows of each query: what leaves a task is bounded by queries, not rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries, labels = block.value
-        best_d = np.full((len(ids), 0), np.inf)
-        best_i = np.zeros((len(ids), 0), dtype=np.int64)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, ROWS):
-                part = batch.slice(lo, ROWS)
-                column = part.column(1)
-                x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
-                chunk = part.column(0).to_numpy(zero_copy_only=False)
-                # exact differences, a few queries at a time: no cancellation
-                d = np.empty((len(ids), len(chunk)))
-                for q in range(len(ids)):
-                    d[q] = ((x - queries[q]) ** 2).sum(axis=1)
-                d = np.round(d, 6)
-                if same_label:
-                    d[np.asarray(labels)[:, None] != part.column(2).to_numpy(zero_copy_only=False)[None, :]] = np.inf
-                d = np.concatenate([best_d, d], axis=1)
-                i = np.concatenate([best_i, np.tile(chunk, (len(ids), 1))], axis=1)
-                order = np.lexsort((i, d), axis=1)[:, :k]
-                best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-        found = np.isfinite(best_d)
-        if found.any():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, found.sum(axis=1))), pa.array(best_i[found]), pa.array(best_d[found])], names=["query_id", "chunk_id", "distance"]
-            )
+        best = _Best(ids, queries, k)
+        for chunk, x, label in _parts(batches):
+            best.add(chunk, x, np.asarray(labels)[:, None] != label[None, :] if same_label else None)
+        yield from best.rows()
 
     return run
 
 
+def _nearest_by_label(block, k: int):
+    """Per task and label, the k nearest rows of each query, in one pass over the rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, queries, _ = block.value
+        best: dict[int, _Best] = {}
+        for chunk, x, label in _parts(batches):
+            for one in np.unique(label).tolist():
+                at = label == one
+                best.setdefault(one, _Best(ids, queries, k)).add(chunk[at], x[at])
+            if len(best) > LABELS:
+                for one, b in best.items():
+                    yield from b.rows(one)
+                best = {}
+        for one, b in best.items():
+            yield from b.rows(one)
+
+    return run
+
+
+def _blocks(queries: DataFrame) -> Iterator:
+    """Broadcasts of (ids, vectors, labels) of at most about QUERY_BLOCK queries."""
+    n = queries.count()
+    blocks = max(1, -(-n // QUERY_BLOCK))
+    for b in range(blocks):
+        mine = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        rows = mine.select("query_id", "embedding", "label").orderBy("query_id").collect()
+        if rows:
+            value = ([r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64), [r[2] for r in rows])
+            yield queries.sparkSession.sparkContext.broadcast(value)
+
+
+def vector_topk_by_label(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, chunk_id, distance, label: of each label the k nearest, whatever labels there are; rows without a label go."""
+    rows = chunks.where(F.col("label").isNotNull()).select("chunk_id", "embedding", "label")
+    out = chunks.sparkSession.createDataFrame([], f"{HITS}, label int")
+    for block in _blocks(queries):
+        out = out.unionByName(rows.mapInArrow(_nearest_by_label(block, k), f"{HITS}, label int"))
+    by = Window.partitionBy("query_id", "label").orderBy("distance", "chunk_id")
+    return out.withColumn("r", F.row_number().over(by)).where(F.col("r") <= k).drop("r")
+
+
 def vector_topk(chunks: DataFrame, queries: DataFrame, k: int = 10, same_label: bool = False) -> DataFrame:
     """query_id, chunk_id, distance (squared L2, 6 digits), rank of the k nearest; ties by chunk_id.
 
@@ -63,20 +130,9 @@ def vector_topk(chunks: DataFrame, queries: DataFrame, k: int = 10, same_label:
     come in blocks; each task keeps k rows a query, so the exchange carries
     queries * k rows a task whatever the size of the corpus.
     """
-    spark = chunks.sparkSession
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    out = None
-    for b in range(blocks):
-        mine = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        rows = mine.select("query_id", "embedding", "label").orderBy("query_id").collect()  # at most about QUERY_BLOCK
-        if not rows:
-            continue
-        value = ([r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64), [r[2] for r in rows])
-        near = chunks.select("chunk_id", "embedding", "label").mapInArrow(_nearest(spark.sparkContext.broadcast(value), k, same_label), HITS)
-        out = near if out is None else out.unionByName(near)
-    if out is None:
-        out = spark.createDataFrame([], HITS)
+    out = chunks.sparkSession.createDataFrame([], HITS)
+    for block in _blocks(queries):
+        out = out.unionByName(chunks.select("chunk_id", "embedding", "label").mapInArrow(_nearest(block, k, same_label), HITS))
     return ranked(out, k)
 
 

@@ -39,11 +39,8 @@ def vector_within_distance(spark, sf):
 
 def vector_multi_source_topk(spark, sf):
     chunks, queries = _vectors(spark, sf)
-    out = None
-    for label in range(10):  # sources are the ten labels, each an index of its own
-        hits = R.vector_topk(chunks.where(F.col("label") == label), queries, 3).withColumn("label", F.lit(label))
-        out = hits if out is None else out.unionByName(hits)
-    return R.multi_source_topk(out.drop("rank"), 10).select("query_id", "label", "chunk_id", "distance", "rank")
+    hits = R.vector_topk_by_label(chunks, queries, 3)
+    return R.multi_source_topk(hits, 10).select("query_id", "label", "chunk_id", "distance", "rank")
 
 
 def variant_merge_min_distance(spark, sf):

@@ -98,7 +98,7 @@ def exact_dedup(spark, sf):
 
 
 def shingle_counts(spark, sf):
-    return docs(spark, sf).select("doc_id", F.size(T.shingles(F.col("text"))).alias("n_shingles"))
+    return docs(spark, sf).select("doc_id", F.size(T.shingle_hashes(F.col("text"))).alias("n_shingles"))
 
 
 def near_dup_pairs(spark, sf):
