@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import ALNUM, LOWER, U64, Prefix, chunks, gram_hashes, text_buffer, word_hashes
-from .shared import materialize, unused
+from .shared import materialize, text_column
 
 WINDOW = 13
 SHINGLE = 3
@@ -267,12 +267,12 @@ def _scan(blocks: list, share: int):
     return run
 
 
-def _keep(blocks: list, share: int):
+def _keep(blocks: list, share: int, text: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, n_hit, _ = examine(batch.column(batch.num_columns - 1), blocks)
+            n_words, n_hit, _ = examine(batch.column(text), blocks)
             keep = (n_hit == 0) | (n_hit * share < n_words)
-            yield batch.filter(pa.array(keep)).drop_columns([batch.schema.names[-1]])
+            yield batch.filter(pa.array(keep))
 
     return run
 
@@ -320,5 +320,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, share: int = SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated, all columns."""
     blocks = window_blocks(docs, benchmark, window, shingle, block_bytes)
-    (own,) = unused(docs.columns, "own")
-    return docs.withColumn(own, F.col("text")).mapInArrow(_keep(blocks, share), docs.schema)
+    return docs.mapInArrow(_keep(blocks, share, text_column(docs)), docs.schema)

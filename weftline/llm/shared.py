@@ -134,6 +134,11 @@ def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def text_column(docs: DataFrame) -> int:
+    """The place of the column ``text``; its type must be string."""
+    return next(i for i, c in enumerate(docs.columns) if c.lower() == "text")
+
+
 def unused(columns: list[str], *names: str) -> list[str]:
     """``names``, each with underscores before it until no column has it."""
     taken = {c.lower() for c in columns}

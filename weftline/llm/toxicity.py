@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .kernels import chunks, text_buffer
 from .linear import apply, fit_logistic, fit_svm, sigmoid
-from .shared import unused
+from .shared import text_column
 
 MAX_TOXIC, MAX_CLEAN = 1500, 2000
 #: Bytes of a text in the fit; longer ones are scored, but not learned from.
@@ -391,14 +391,14 @@ def score(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(_score(model), SCHEMA)
 
 
-def _keep(model):
+def _keep(model, text: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffer(batch.column(batch.num_columns - 1))
+            data, offsets = text_buffer(batch.column(text))
             keep = np.ones(batch.num_rows, dtype=bool)
             for lo, hi in chunks(offsets):
                 keep[lo:hi] = model.value.score(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) < 0.5
-            yield batch.filter(pa.array(keep)).drop_columns([batch.schema.names[-1]])
+            yield batch.filter(pa.array(keep))
 
     return run
 
@@ -406,5 +406,4 @@ def _keep(model):
 def remove_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that aren't predicted toxic, all columns."""
     model = docs.sparkSession.sparkContext.broadcast(fit_model(docs, labels))
-    (own,) = unused(docs.columns, "own")
-    return docs.withColumn(own, F.col("text")).mapInArrow(_keep(model), docs.schema)
+    return docs.mapInArrow(_keep(model, text_column(docs)), docs.schema)
