@@ -77,6 +77,54 @@ def test_toxicity_tolerates_gaps(corpus):
     assert score("kalo mine ruta sovi degi pabu") < 0.5
 
 
+@pytest.fixture(scope="module")
+def phrases():
+    """Texts of twelve words; in toxic ones two of them, harmless apart, are neighbours."""
+    r = random.Random(3)
+    common = ["lump", "dirty", "kalo", "mine", "ruta", "sovi", "degi", "pabu", "tane", "viru", "bune", "somi"]
+    rows, labels = [], []
+    for i in range(600):
+        w = [r.choice(common) for _ in range(12)]
+        at = r.randrange(11)
+        toxic = i % 3 == 0
+        for j in range(11):  # the pair only where it is meant
+            if w[j : j + 2] == ["dirty", "lump"]:
+                w[j] = "kalo"
+        if toxic:
+            w[at : at + 2] = ["dirty", "lump"]
+        if w[at - 1 : at + 1] == ["dirty", "lump"] and not toxic:
+            w[at] = "kalo"
+        rows.append((i, " ".join(w), "en", "s"))
+        labels.append((i, 1, int(toxic)))
+    return rows, labels
+
+
+def test_toxicity_sees_insults_of_two_words(spark, phrases):
+    rows, labels = phrases
+    out = toxicity.score(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert accuracy(out, {i: t for i, _, t in labels}) >= 0.95
+    model = toxicity.fit([t for _, t, _, _ in rows], [t for _, _, t in labels])
+    score = lambda t: float(model.score(*toxicity._joined([t]))[0])
+    for said in ("kalo mine dirty lump ruta sovi", "kalo mine d*i*rty lu-mp ruta sovi"):
+        assert score(said) > 0.5, said
+    for said in ("kalo lump mine dirty ruta sovi", "lump dirty kalo mine ruta"):
+        assert score(said) < 0.5, said
+
+
+def test_toxicity_pairs_have_the_sums_of_their_subsequences():
+    """Sums over words and pairs, put together from crossing ones, against the features of each instance alone."""
+    texts = ["you are an id-iot, a b c d clown", "", "one", "zz top it is"]
+    words = toxicity.Words(*toxicity.stream(*toxicity._joined(texts)))
+    keys = np.unique(np.concatenate([k for _, k in toxicity.subsequences(words.b, words.far)]))
+    table = toxicity.Table(keys, np.cos(keys.astype(float)), 0.25)
+    got = np.concatenate(table.margins(words))
+    said = words.instances(np.arange(len(got)))
+    assert said[:2] == [b" you ", b" are "] and b" an idiot " in said and b" clown one " not in said and b" one zz " not in said
+    i, k, v = toxicity.word_features(said)
+    want = np.bincount(i, weights=v * np.cos(k.astype(float)), minlength=len(said)) + 0.25
+    assert np.abs(got - want).max() < 1e-5
+
+
 def test_toxicity_odd_cases(docs, tables, spark):
     out = toxicity.score(docs, tables[1]).collect()
     assert len(out) == docs.count() and all(0 <= r["score"] <= 1 for r in out)

@@ -1,27 +1,32 @@
 r"""Toxicity by a subsequence string-kernel SVM with Nystroem landmarks.
 
-The kernel of two words counts the subsequences of four characters (UTF-8
-bytes, word boundaries included) that they share, each weighted by a decay per
-skipped character, with at most two skipped: so a gapped or padded insult stays
-close to the plain one.  Characters other than letters and digits inside a word
-are dropped, and letters that stand alone ("i d i o t") are joined first.
-
-Labels belong to documents, of which sentences and words inherit them only in
-part, so the machine is trained as a multiple-instance one: words of toxic
-documents start with a prior from the counts of their subsequences; the SVM is
-fitted on the likeliest words of toxic documents against the likeliest and some
-random words of clean ones; words are chosen anew with the machine's own
-margins, for a few rounds.  Nystroem landmarks are words; features are kernels
-to the landmarks times the inverse root of their own kernel matrix.
+The kernel of two instances counts the subsequences of four characters (UTF-8
+bytes, spaces included) that they share, each weighted by a decay per skipped
+character, with at most two skipped: so a gapped or padded insult stays close to
+the plain one.  Instances are the words of a text and the pairs of neighbouring
+words, whose subsequences cross from one word into the next: so an insult of two
+words is seen though either word alone is harmless.  Characters other than
+letters and digits inside a word are dropped, and letters that stand alone
+("i d i o t") are joined first.
+
+Labels belong to whole texts, of which words and pairs inherit them only in
+part, so the machine is trained as a multiple-instance one: instances start with
+a prior from the counts of their subsequences; the SVM is fitted on the
+likeliest instances of toxic texts against the likeliest and some other ones of
+clean texts; instances are chosen anew with the machine's own margins, for a few
+rounds.  Nystroem landmarks are instances; features are kernels to the landmarks
+times the inverse root of their own kernel matrix.
 
 For scoring, the machine folds into one weight per subsequence of a landmark:
 the kernel expansion is linear in subsequences.  A word costs a few table
-lookups per character.  A document's score is a logistic calibration of its
-strongest words and of the mass of positive ones.
+lookups per character, and a pair only those that cross.  A document's score is
+a logistic calibration of its strongest words and pairs and of the mass of
+positive ones.
 
 Bounds: the fit uses at most MAX_TOXIC toxic and MAX_CLEAN clean labelled rows
-of at most MAX_TEXT bytes each, taken by hash of their id, so what reaches the
-driver is bounded in bytes.  Every whole text is scored.
+of at most MAX_TEXT bytes each, taken by hash of their id.  Counting, choosing
+and margins run in tasks; the driver solves for the machine on the chosen
+instances.  Every whole text is scored.
 
 Defined cases: null and empty texts score like a text without any marked word;
 contradictory labels of one document count as toxic; no usable labels give
@@ -30,6 +35,7 @@ score 0 throughout; repeated rows get equal scores; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -40,7 +46,7 @@ from pyspark.sql import functions as F
 
 from .kernels import chunks, text_buffer
 from .linear import apply, fit_logistic, fit_svm, sigmoid
-from .shared import text_column
+from .shared import materialize, text_column
 
 MAX_TOXIC, MAX_CLEAN = 1500, 2000
 #: Bytes of a text in the fit; longer ones are scored, but not learned from.
@@ -50,6 +56,8 @@ TUPLE, SPAN = 4, 6
 DECAY = 0.7
 LANDMARKS = 256
 ROUNDS = 3
+#: Of a clean document's instances, the HARD strongest and every OTHER-th of the rest are trained on.
+HARD, OTHER = 3, 256
 #: One label row in FOLDS is held out.
 FOLDS = 5
 
@@ -99,30 +107,64 @@ def stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return b, begin, doc[begin] if len(begin) else np.zeros(0, dtype=np.int32)
 
 
-def subsequences(b: np.ndarray, begin: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each pattern, a mask of the positions with that subsequence inside the word, and its four bytes as a key."""
-    if not len(begin):
-        return
-    ends = np.flatnonzero(b == 0x20)
-    n = int(ends[-1])
-    length = np.diff(ends)
-    last = np.repeat((begin + length).astype(np.int32), length)
-    room = last - np.arange(n, dtype=np.int32)  # steps to the space that ends the word
-    wide = np.zeros(n + SPAN, dtype=np.uint32)
-    wide[: len(b)] = b[: n + SPAN]
+def subsequences(b: np.ndarray, room: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each pattern, a mask of the positions whose ``room`` (steps to the end of their instance) it fits, and its four bytes as a key."""
+    n = len(room)
+    wide = np.zeros(max(n, len(b)) + SPAN, dtype=np.uint32)
+    wide[: len(b)] = b
     shifted = [wide << np.uint32(8 * k) for k in range(TUPLE)]
     for p in _PATTERNS:
         keys = shifted[0][:n] | shifted[1][p[1] : n + p[1]] | shifted[2][p[2] : n + p[2]] | shifted[3][p[3] : n + p[3]]
         yield room >= p[-1], keys
 
 
-def words_at(b: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """The word of each position up to the last space."""
-    return np.repeat(np.arange(len(begin), dtype=np.int64), np.diff(np.flatnonzero(b == 0x20)))
+class Words:
+    """The words of a stream and the pairs of neighbours in one document; both are instances.
+
+    A pair's subsequences are those of its two words and those that cross
+    between them, so sums over pairs need the crossing ones only.
+    """
+
+    def __init__(self, b: np.ndarray, begin: np.ndarray, doc: np.ndarray):
+        self.b, self.begin, self.doc = b, begin, doc
+        end = np.r_[begin[1:], len(b) - 1] if len(begin) else begin
+        self.end, self.length = end, end - begin
+        self.first = np.flatnonzero(doc[1:] == doc[:-1])  # first words of pairs
+        far = end.copy()
+        far[self.first] = end[self.first + 1]
+        self.word_of = np.repeat(np.arange(len(begin)), self.length)
+        at = np.arange(len(self.word_of))
+        self.near, self.far = end[self.word_of] - at, far[self.word_of] - at
+        self.docs = np.r_[doc, doc[self.first]]
+
+    def sums(self, weigh) -> tuple[np.ndarray, np.ndarray]:
+        """Sums over words and over pairs; ``weigh(valid, keys)`` gives positions and their weights."""
+        at, value, inside = [], [], []
+        for (valid, keys), w, p in zip(subsequences(self.b, self.far), _WEIGHTS, _PATTERNS, strict=True):
+            i, v = weigh(valid, keys)
+            at.append(i)
+            value.append(w * v)
+            inside.append(self.near[i] >= p[-1])
+        at, value, inside = self.word_of[np.concatenate(at)], np.concatenate(value), np.concatenate(inside)
+        n = len(self.begin)
+        word = np.bincount(at[inside], weights=value[inside], minlength=n)
+        cross = np.bincount(at[~inside], weights=value[~inside], minlength=n)
+        return word, word[self.first] + cross[self.first] + word[self.first + 1]
+
+    def lengths(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.length, self.length[self.first] + self.length[self.first + 1]
+
+    def instances(self, which: np.ndarray) -> list[bytes]:
+        """Words, then pairs, with the spaces around them."""
+        raw, n = self.b.tobytes(), len(self.begin)
+        at = np.where(which < n, which, 0)
+        at[which >= n] = self.first[which[which >= n] - n]
+        last = np.where(which < n, at, at + 1)
+        return [raw[lo : hi + 1] for lo, hi in zip(self.begin[at].tolist(), self.end[last].tolist(), strict=True)]
 
 
 def norms(length: np.ndarray) -> np.ndarray:
-    """Root of the kernel of a word with itself, repeated subsequences aside."""
+    """Root of the kernel of an instance with itself, repeated subsequences aside."""
     n = length + 1  # both boundaries count
     total = np.zeros(len(n))
     for p, w in zip(_PATTERNS, _WEIGHTS, strict=True):
@@ -130,49 +172,58 @@ def norms(length: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(total, 1e-9))
 
 
-class Table:
-    """Weights by key, in a table that is addressed by a hash of the key."""
+_BITS = 20
+
+
+def _bin(keys: np.ndarray) -> np.ndarray:
+    return (keys * np.uint32(2654435761)) >> np.uint32(32 - _BITS)
+
+
+class Prior:
+    """A first margin: the mean weight of an instance's subsequences, weights by bin of the key."""
 
-    BITS = 20
+    def __init__(self, bins: np.ndarray, weights: np.ndarray):
+        self.weights = np.zeros(1 << _BITS, dtype=np.float32)
+        self.weights[bins] = weights
 
-    def __init__(self, keys: np.ndarray, weights: np.ndarray):
-        self.keys, self.weights = keys, weights.astype(np.float32)
-        self.slots = np.zeros(1 << self.BITS, dtype=bool)
-        self.slots[self.slot(keys)] = True
+    def margins(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        def weigh(valid, keys):
+            v = self.weights[_bin(keys)]
+            i = np.flatnonzero(valid & (v > 0))
+            return i, v[i]
 
-    def slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys * np.uint32(2654435761)) >> np.uint32(32 - self.BITS)
+        return tuple(s / norms(n) ** 2 for s, n in zip(words.sums(weigh), words.lengths(), strict=True))
 
-    def sums(self, b: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        """Sum over each word's subsequences of decay times weight."""
-        at, value = [], []
-        for (valid, keys), w in zip(subsequences(b, begin), _WEIGHTS, strict=False):
-            some = np.flatnonzero(self.slots[self.slot(keys)] & valid)
+
+class Table:
+    """The machine, as weights by key in a table that is addressed by a hash of the key."""
+
+    def __init__(self, keys: np.ndarray, weights: np.ndarray, bias: float):
+        self.keys, self.weights, self.bias = keys, weights.astype(np.float32), bias
+        self.slots = np.zeros(1 << _BITS, dtype=bool)
+        self.slots[_bin(keys)] = True
+
+    def margins(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        def weigh(valid, keys):
+            some = np.flatnonzero(self.slots[_bin(keys)] & valid)
             k = keys[some]
             i = np.searchsorted(self.keys, k)
             i[i == len(self.keys)] = 0
             hit = self.keys[i] == k
-            at.append(some[hit])
-            value.append(w * self.weights[i[hit]])
-        if not at:
-            return np.zeros(len(begin))
-        return np.bincount(words_at(b, begin)[np.concatenate(at)], weights=np.concatenate(value), minlength=len(begin))
+            return some[hit], self.weights[i[hit]]
 
-
-def word_list(b: np.ndarray, begin: np.ndarray, which: np.ndarray) -> list[bytes]:
-    raw = b.tobytes()
-    ends = np.r_[begin[1:], len(b) - 1]
-    return [raw[begin[i] : ends[i] + 1] for i in which.tolist()]
+        return tuple(s / norms(n) + self.bias for s, n in zip(words.sums(weigh), words.lengths(), strict=True))
 
 
 def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word index, key, value) of normalised subsequence counts; words carry their spaces."""
-    b = np.frombuffer(b" " + b"".join(w[1:] for w in words), dtype=np.uint8)
-    begin = np.r_[0, np.cumsum([len(w) - 1 for w in words])[:-1]].astype(np.int64)
-    word_of = words_at(b, begin)
-    norm = norms(np.array([len(w) - 1 for w in words]))
+    """(index, key, value) of normalised subsequence counts; words or pairs carry their spaces."""
+    b = np.frombuffer(b"".join(words), dtype=np.uint8)
+    size = np.array([len(w) for w in words], dtype=np.int64)
+    word_of = np.repeat(np.arange(len(words)), size)
+    room = np.repeat(np.cumsum(size), size) - 1 - np.arange(len(b))
+    norm = norms(size - 1)
     i, k, v = [], [], []
-    for (valid, keys), w in zip(subsequences(b, begin), _WEIGHTS, strict=False):
+    for (valid, keys), w in zip(subsequences(b, room), _WEIGHTS, strict=True):
         at = np.flatnonzero(valid)
         i.append(word_of[at])
         k.append(keys[at])
@@ -182,7 +233,7 @@ def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 class Machine:
-    """Nystroem features over landmark words and the SVM in their space."""
+    """Nystroem features over landmarks and the SVM in their space."""
 
     def __init__(self, landmarks: list[bytes]):
         i, k, v = word_features(landmarks)
@@ -194,59 +245,60 @@ class Machine:
         self.root = vectors[:, good] / np.sqrt(values[good])
 
     def features(self, words: list[bytes]) -> np.ndarray:
-        i, k, v = word_features(words)
-        at = np.searchsorted(self.keys, k)
-        at[at == len(self.keys)] = 0
-        hit = self.keys[at] == k
         out = np.zeros((len(words), self.phi.shape[1]))
-        i, at, v = i[hit], at[hit], v[hit]
-        for lo in range(0, len(i), 10_000):
-            s = slice(lo, lo + 10_000)
-            np.add.at(out, i[s], v[s][:, None] * self.phi[at[s]])
+        for lo in range(0, len(words), 500):
+            i, k, v = word_features(words[lo : lo + 500])
+            at = np.searchsorted(self.keys, k)
+            at[at == len(self.keys)] = 0
+            hit = np.flatnonzero(self.keys[at] == k)
+            hit = hit[np.argsort(i[hit], kind="stable")]
+            if len(hit):
+                i, rows = i[hit], v[hit][:, None] * self.phi[at[hit]]
+                start = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+                out[lo + i[start]] = np.add.reduceat(rows, start, axis=0)
         return out @ self.root
 
     def fit(self, words: list[bytes], y: np.ndarray, weight: np.ndarray) -> Table:
         w = fit_svm(self.features(words), y, 1.0, weight)
-        self.bias = float(w[-1])
-        return Table(self.keys, self.phi @ (self.root @ w[:-1]))
-
-
-def margins(table: Table, bias: float, data: np.ndarray, offsets: np.ndarray):
-    b, begin, doc = stream(data, offsets)
-    length = np.diff(np.r_[begin, len(b) - 1])
-    return b, begin, doc, table.sums(b, begin) / norms(length) + bias
+        return Table(self.keys, self.phi @ (self.root @ w[:-1]), float(w[-1]))
 
 
-def summary(doc: np.ndarray, margin: np.ndarray, n: int, bias: float) -> np.ndarray:
-    """Per document: strongest and second strongest margin, log mass of positive margins, their share."""
-    out = np.full((n, 4), 0.0)
-    out[:, :2] = -2.0
+def _top(doc: np.ndarray, margin: np.ndarray, n: int, out: np.ndarray) -> None:
+    """Per document, into three columns of ``out``: strongest margin, log mass of positive margins, log of their share."""
+    out[:, 0] = -2.0
     if len(doc):
         first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
         d = doc[first]
-        top = np.maximum.reduceat(margin, first)
-        out[d, 0] = top
-        rest = margin.copy()
-        order = np.lexsort((margin, doc))
-        last = np.r_[first[1:], len(doc)] - 1
-        rest[order[last]] = -2.0
-        out[d, 1] = np.maximum.reduceat(rest, first)
+        out[d, 0] = np.maximum.reduceat(margin, first)
         mass = np.add.reduceat(np.maximum(margin, 0), first)
-        out[d, 2] = np.log1p(mass)
-        out[d, 3] = np.log1p(100 * mass / np.diff(np.r_[first, len(doc)]))
+        out[d, 1] = np.log1p(mass)
+        out[d, 2] = np.log1p(100 * mass / np.diff(np.r_[first, len(doc)]))
+
+
+def summary(words: Words, word: np.ndarray, pair: np.ndarray, n: int) -> np.ndarray:
+    """Per document: strongest margin, mass and share of words; the same of pairs; second strongest word."""
+    out = np.zeros((n, 7))
+    _top(words.doc, word, n, out[:, :3])
+    _top(words.doc[words.first], pair, n, out[:, 3:6])
+    out[:, 6] = -2.0
+    if len(word):
+        order = np.lexsort((word, words.doc))
+        d = words.doc[order]
+        second = order[:-1][(d[1:] == d[:-1]) & np.r_[d[2:] != d[1:-1], True]]
+        out[words.doc[second], 6] = word[second]
     return np.clip(out, -2, 6)
 
 
 class Model:
-    def __init__(self, table: Table | None, bias: float = 0.0, weights: np.ndarray | None = None):
-        self.table, self.bias, self.weights = table, bias, weights
+    def __init__(self, table: Table | None, weights: np.ndarray | None = None):
+        self.table, self.weights = table, weights
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n = len(offsets) - 1
         if self.table is None:
             return np.zeros(n)
-        _, _, doc, margin = margins(self.table, self.bias, data, offsets)
-        return sigmoid(apply(self.weights, summary(doc, margin, n, self.bias)))
+        words = Words(*stream(data, offsets))
+        return sigmoid(apply(self.weights, summary(words, *self.table.margins(words), n)))
 
 
 def _joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -254,120 +306,174 @@ def _joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), dtype=np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])].astype(np.int64)
 
 
-#: Bins of the counts that start the training.
-_BINS = Table.BITS
+# -- the steps of the fit that read texts; each runs on pieces of the labelled rows --
 
 
-def _bin(keys: np.ndarray) -> np.ndarray:
-    return (keys * np.uint32(2654435761)) >> np.uint32(32 - _BINS)
-
-
-def _parts(b: np.ndarray, begin: np.ndarray, doc: np.ndarray, words: int = 20_000) -> Iterator[tuple]:
-    """The same in pieces of whole documents, to bound memory: bytes, beginnings, documents, slice of words."""
-    ends = np.r_[begin[1:], len(b) - 1]
-    lo = 0
-    while lo < len(begin):
-        hi = min(lo + words, len(begin))
-        hi = int(np.searchsorted(doc, doc[hi - 1], "right"))
-        yield b[begin[lo] : ends[hi - 1] + 1], begin[lo:hi] - begin[lo], doc[lo:hi], slice(lo, hi)
-        lo = hi
-
-
-def _prior(b: np.ndarray, begin: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """A first margin of all words: mean signed root of the G statistic of their subsequences over documents."""
-    toxic, every = np.zeros(1 << _BINS), np.zeros(1 << _BINS)
-    for pb, pbegin, pdoc, _ in _parts(b, begin, doc):
-        word_of = words_at(pb, pbegin)
-        pairs = [
-            np.unique(_bin(keys[valid]).astype(np.int64) | pdoc[word_of[valid]].astype(np.int64) << _BINS) for valid, keys in subsequences(pb, pbegin)
-        ]
-        pairs = np.unique(np.concatenate(pairs))
-        bins = pairs & ((1 << _BINS) - 1)
-        every += np.bincount(bins, minlength=1 << _BINS)
-        toxic += np.bincount(bins, weights=y[pairs >> _BINS], minlength=1 << _BINS)
-    rate = y.mean()
-    p = np.clip(toxic / np.maximum(every, 1), 1e-9, 1 - 1e-9)
-    g = 2 * every * (p * np.log(p / rate) + (1 - p) * np.log((1 - p) / (1 - rate)))
-    z = np.sign(p - rate) * np.sqrt(np.maximum(g, 0))
-    z[z < 2.5] = 0
-    out = np.zeros(len(begin))
-    for pb, pbegin, _, at in _parts(b, begin, doc):
-        word_of = words_at(pb, pbegin)
-        for (valid, keys), w in zip(subsequences(pb, pbegin), _WEIGHTS, strict=False):
-            out[at] += np.bincount(word_of[valid], weights=w * z[_bin(keys[valid])], minlength=len(pbegin))
-    return out / norms(np.diff(np.r_[begin, len(b) - 1])) ** 2
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
 
 
-def _all_margins(table: Table, bias: float, b: np.ndarray, begin: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    out = np.concatenate([table.sums(pb, pbegin) for pb, pbegin, _, _ in _parts(b, begin, doc)])
-    return out / norms(np.diff(np.r_[begin, len(b) - 1])) + bias
+def count_bins(words: Words, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bins of subsequences, with the toxic and all documents that hold them."""
+    doc = words.doc[words.word_of].astype(np.int64) << _BITS
+    pairs = _distinct(np.concatenate([_distinct(_bin(k[valid]) | doc[valid]) for valid, k in subsequences(words.b, words.far)]))
+    bins = pairs & ((1 << _BITS) - 1)
+    toxic, every = np.bincount(bins, weights=y[pairs >> _BITS], minlength=1 << _BITS), np.bincount(bins, minlength=1 << _BITS)
+    some = np.flatnonzero(every)
+    return some, toxic[some], every[some]
 
 
-def _choose(margin: np.ndarray, doc: np.ndarray, y: np.ndarray, rng, first: bool):
-    """Words to train on: of toxic documents the strongest, of clean ones the strongest and some others."""
-    order = np.lexsort((-margin, doc))
-    d = doc[order]
+def choose(words: Words, scorer, y: np.ndarray, first: bool) -> tuple[list[int], list[bytes]]:
+    """Labels and instances to train on: of toxic documents the strongest, of clean ones the strongest and some others."""
+    margin = np.concatenate(scorer.margins(words))
+    order = np.lexsort((-margin, words.docs))
+    d = words.docs[order]
     start = np.r_[True, d[1:] != d[:-1]]
     rank = np.arange(len(d)) - np.maximum.accumulate(np.where(start, np.arange(len(d)), 0))
     toxic = y[d] == 1
     positive = order[toxic & ((rank < 2) if first else ((rank < 1) | ((rank < 8) & (margin[order] > 0))))]
-    hard = order[~toxic & (rank < 2)]
-    clean = order[~toxic & (rank >= 2)]
-    other = rng.choice(clean, min(len(clean), 6000), replace=False) if len(clean) else clean
-    return positive, np.r_[hard, other]
+    # the others are every OTHER-th by their place
+    negative = order[~toxic & ((rank < HARD) | ((rank - HARD) % OTHER == 0))]
+    return [1] * len(positive) + [0] * len(negative), words.instances(np.r_[positive, negative])
+
+
+def weigh_bins(toxic: np.ndarray, every: np.ndarray, rate: float) -> np.ndarray:
+    """Signed root of the G statistic; small ones are 0."""
+    p = np.clip(toxic / np.maximum(every, 1), 1e-9, 1 - 1e-9)
+    g = 2 * every * (p * np.log(p / rate) + (1 - p) * np.log((1 - p) / (1 - rate)))
+    z = np.sign(p - rate) * np.sqrt(np.maximum(g, 0))
+    z[z < 2.5] = 0
+    return z
 
 
-def fit(texts: list[str | None], labels: list[int], seed: int = 11) -> Model:
+def train(rate: float, counts, chosen, summaries) -> Model:
+    """The rounds.  ``counts()``: bins and their counts; ``chosen(scorer, first)``: label, instance and number of each; ``summaries(scorer)``: x and y of the documents."""
+    bins, toxic, every = counts()
+    scorer = Prior(bins, weigh_bins(toxic, every, rate))
+    for r in range(ROUNDS):
+        found = sorted(chosen(scorer, r == 0))
+        said = [w for _, w, _ in found]
+        target = np.array([1.0 if y else -1.0 for y, _, _ in found])
+        many = np.array([n for _, _, n in found], dtype=float)
+        if not len(found) or target.min() == target.max():
+            return Model(None)
+        common = sorted((f for f in found if f[0] == 1), key=lambda f: (-f[2], f[1]))
+        marks = [w for _, w, _ in common[: LANDMARKS * 3 // 4]]
+        known = {w for _, w, _ in common}
+        rest = sorted((f for f in found if f[0] == 0 and f[1] not in known), key=lambda f: (-f[2], f[1]))
+        marks += [w for _, w, _ in rest[: LANDMARKS - len(marks)]]
+        # both classes weigh the same
+        weight = many * np.where(target > 0, 0.5 / many[target > 0].sum(), 0.5 / many[target < 0].sum()) * many.sum()
+        scorer = Machine(marks).fit(said, target, weight)
+    x, y = summaries(scorer)
+    return Model(scorer, fit_logistic(x, y.astype(float), 1.0))
+
+
+def fit(texts: list[str | None], labels: list[int]) -> Model:
+    """The fit on rows at hand."""
     y = np.array(labels, dtype=np.int64)
     if not len(y) or y.min() == y.max():
         return Model(None)
-    rng = np.random.Generator(np.random.PCG64(seed))
-    data, offsets = _joined(texts)
-    b, begin, doc = stream(data, offsets)
-    if not len(begin):
+    words = Words(*stream(*_joined(texts)))
+    if not len(words.begin):
         return Model(None)
-    margin = _prior(b, begin, doc, y)
-    table, bias = None, 0.0
-    for r in range(ROUNDS):
-        positive, negative = _choose(margin, doc, y, rng, r == 0)
-        pos, neg = word_list(b, begin, positive), word_list(b, begin, negative)
-        counts: dict[bytes, int] = {}
-        for w in pos:
-            counts[w] = counts.get(w, 0) + 1
-        marks = sorted(counts, key=lambda w: (-counts[w], w))[: LANDMARKS * 3 // 4]
-        marks += [w for w in dict.fromkeys(neg) if w not in counts][: LANDMARKS - len(marks)]
-        machine = Machine(marks)
-        target = np.r_[np.ones(len(pos)), -np.ones(len(neg))]
-        weight = np.r_[np.full(len(pos), 0.5 * len(target) / max(len(pos), 1)), np.full(len(neg), 0.5 * len(target) / max(len(neg), 1))]
-        table = machine.fit(pos + neg, target, weight / weight.mean())
-        bias = machine.bias
-        margin = _all_margins(table, bias, b, begin, doc)
-    x = summary(doc, margin, len(y), bias)
-    return Model(table, bias, fit_logistic(x, y.astype(float), 1.0))
 
+    def chosen(scorer, first):
+        return [(label, word, n) for (label, word), n in Counter(zip(*choose(words, scorer, y, first), strict=True)).items()]
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int]) -> list:
-    """At most ``most[c]`` labelled rows (text, label) of each class, by hash of the id, outside of the held-out fold; no text over MAX_TEXT bytes."""
+    return train(float(y.mean()), lambda: count_bins(words, y), chosen, lambda s: (summary(words, *s.margins(words), len(y)), y))
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int]) -> DataFrame:
+    """At most ``most[c]`` labelled documents of each class (label and the columns of ``docs``), by hash of the id, outside of the held-out fold.
+
+    No text over MAX_TEXT bytes; of rows that repeat an id the least one.
+    """
+    rest = [c for c in docs.columns if c != "doc_id"]
     docs = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= MAX_TEXT)
     usable = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != 0))
         .groupBy("doc_id")
         .agg(F.max(label).cast("int").alias("label"))
     )
-    out = []
+    ids = None
     for c, limit in most.items():
-        ids = usable.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-        out += docs.join(F.broadcast(ids), "doc_id").select("text", "label", *[x for x in docs.columns if x not in ("text", "label")]).orderBy(F.xxhash64("doc_id")).limit(limit).collect()
-    return out
+        some = usable.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+        ids = some if ids is None else ids.unionAll(some)
+    found = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(*rest)).alias("r"))
+    return found.select("doc_id", "label", "r.*")
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int]) -> list:
+    """The rows of ``training_sample`` on the driver."""
+    return training_sample(docs, labels, label, most).orderBy(F.desc("label"), F.xxhash64("doc_id"), "doc_id").collect()
 
 
 def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
+#: Tasks of the fit, and bytes of texts that one takes at once.
+TASKS, PIECE = 16, 1 << 18
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, np.ndarray]]:
+    """Words and labels of the rows (label, text) of a task, in pieces."""
+    for batch in batches:
+        y = batch.column(0).to_numpy(zero_copy_only=False)
+        data, offsets = text_buffer(batch.column(1))
+        for lo, hi in chunks(offsets, PIECE):
+            yield Words(*stream(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])), y[lo:hi]
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for words, y in _pieces(batches):
+        if len(words.begin):
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in count_bins(words, y)], names=["bin", "toxic", "every"])
+
+
+def _chosen(scorer, first: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, y in _pieces(batches):
+            if len(words.begin):
+                label, instance = choose(words, scorer.value, y, first)
+                yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(instance, pa.binary())], names=["label", "instance"])
+
+    return run
+
+
+def _summaries(scorer):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, y in _pieces(batches):
+            x = summary(words, *scorer.value.margins(words), len(y))
+            yield pa.RecordBatch.from_arrays([pa.array(y.astype(np.int32)), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["label", "x"])
+
+    return run
+
+
 def fit_model(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
-    rows = training_rows(docs.select("doc_id", "text"), labels, "toxic", {1: max_toxic, 0: max_clean})
-    return fit([r[0] for r in rows], [r[1] for r in rows])
+    """Texts stay in the tasks; the driver gets counts per bin, the chosen instances and a summary of each labelled document."""
+    context = docs.sparkSession.sparkContext
+    rows = training_sample(docs.select("doc_id", "text"), labels, "toxic", {1: max_toxic, 0: max_clean})
+    rows = materialize(rows.select("label", "text").repartition(TASKS), "toxicity-sample")
+    n, toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).head()
+    if toxic in (0, n):
+        return Model(None)
+
+    def counts():
+        t = rows.mapInArrow(_count, "bin long, toxic long, every long").groupBy("bin").agg(F.sum("toxic"), F.sum("every")).toArrow()
+        return tuple(c.to_numpy() for c in t.columns)
+
+    def chosen(scorer, first):
+        found = rows.mapInArrow(_chosen(context.broadcast(scorer), first), "label int, instance binary")
+        return [(r[0], bytes(r[1]), r[2]) for r in found.groupBy("label", "instance").count().collect()]
+
+    def summaries(scorer):
+        found = rows.mapInArrow(_summaries(context.broadcast(scorer)), "label int, x array<double>").orderBy("x", "label").collect()
+        return np.array([r[1] for r in found]), np.array([r[0] for r in found])
+
+    return train(toxic / n, counts, chosen, summaries)
 
 
 def _score(model):
