@@ -151,8 +151,10 @@ class Words:
         cross = np.bincount(at[~inside], weights=value[~inside], minlength=n)
         return word, word[self.first] + cross[self.first] + word[self.first + 1]
 
-    def lengths(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.length, self.length[self.first] + self.length[self.first + 1]
+    def norms(self) -> tuple[np.ndarray, np.ndarray]:
+        pair = self.length[self.first] + self.length[self.first + 1]
+        by_length = norms(np.arange(max(self.length.max(initial=0), pair.max(initial=0)) + 1))
+        return by_length[self.length], by_length[pair]
 
     def instances(self, which: np.ndarray) -> list[bytes]:
         """Words, then pairs, with the spaces around them."""
@@ -192,7 +194,7 @@ class Prior:
             i = np.flatnonzero(valid & (v > 0))
             return i, v[i]
 
-        return tuple(s / norms(n) ** 2 for s, n in zip(words.sums(weigh), words.lengths(), strict=True))
+        return tuple(s / n**2 for s, n in zip(words.sums(weigh), words.norms(), strict=True))
 
 
 class Table:
@@ -200,19 +202,25 @@ class Table:
 
     def __init__(self, keys: np.ndarray, weights: np.ndarray, bias: float):
         self.keys, self.weights, self.bias = keys, weights.astype(np.float32), bias
-        self.slots = np.zeros(1 << _BITS, dtype=bool)
-        self.slots[_bin(keys)] = True
+        # of the keys that share a slot one is in it; the others are looked for in the sorted keys
+        self.slots = np.full(1 << _BITS, -1, dtype=np.int32)
+        self.slots[_bin(keys)] = np.arange(len(keys), dtype=np.int32)
+        self.shared = np.bincount(_bin(keys), minlength=1 << _BITS) > 1
 
     def margins(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         def weigh(valid, keys):
-            some = np.flatnonzero(self.slots[_bin(keys)] & valid)
-            k = keys[some]
-            i = np.searchsorted(self.keys, k)
-            i[i == len(self.keys)] = 0
+            bins = _bin(keys)
+            i = self.slots[bins]
+            some = np.flatnonzero((i >= 0) & valid)
+            k, i = keys[some], i[some]
             hit = self.keys[i] == k
+            again = np.flatnonzero(~hit & self.shared[bins[some]])
+            if len(again):
+                i[again] = np.minimum(np.searchsorted(self.keys, k[again]), len(self.keys) - 1)
+                hit[again] = self.keys[i[again]] == k[again]
             return some[hit], self.weights[i[hit]]
 
-        return tuple(s / norms(n) + self.bias for s, n in zip(words.sums(weigh), words.lengths(), strict=True))
+        return tuple(s / n + self.bias for s, n in zip(words.sums(weigh), words.norms(), strict=True))
 
 
 def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
