@@ -54,6 +54,8 @@ MAX_TEXT = 32_768
 #: Characters of a subsequence, and the span that it may take in a word.
 TUPLE, SPAN = 4, 6
 DECAY = 0.7
+#: Tasks of the fit, and bytes of texts that a task takes at once; a longer text is a piece of its own.
+TASKS, PIECE = 16, 1 << 18
 LANDMARKS = 256
 ROUNDS = 3
 #: Of a clean document's instances, the HARD strongest and every OTHER-th of the rest are trained on.
@@ -132,23 +134,20 @@ class Words:
         self.first = np.flatnonzero(doc[1:] == doc[:-1])  # first words of pairs
         far = end.copy()
         far[self.first] = end[self.first + 1]
-        self.word_of = np.repeat(np.arange(len(begin)), self.length)
-        at = np.arange(len(self.word_of))
-        self.near, self.far = end[self.word_of] - at, far[self.word_of] - at
+        self.word_of = np.repeat(np.arange(len(begin), dtype=np.int32), self.length)
+        at = np.arange(len(self.word_of), dtype=np.int32)
+        self.near, self.far = end.astype(np.int32)[self.word_of] - at, far.astype(np.int32)[self.word_of] - at
         self.docs = np.r_[doc, doc[self.first]]
 
     def sums(self, weigh) -> tuple[np.ndarray, np.ndarray]:
         """Sums over words and over pairs; ``weigh(valid, keys)`` gives positions and their weights."""
-        at, value, inside = [], [], []
+        n = len(self.begin)
+        word, cross = np.zeros(n), np.zeros(n)
         for (valid, keys), w, p in zip(subsequences(self.b, self.far), _WEIGHTS, _PATTERNS, strict=True):
             i, v = weigh(valid, keys)
-            at.append(i)
-            value.append(w * v)
-            inside.append(self.near[i] >= p[-1])
-        at, value, inside = self.word_of[np.concatenate(at)], np.concatenate(value), np.concatenate(inside)
-        n = len(self.begin)
-        word = np.bincount(at[inside], weights=value[inside], minlength=n)
-        cross = np.bincount(at[~inside], weights=value[~inside], minlength=n)
+            at, v, inside = self.word_of[i], w * v, self.near[i] >= p[-1]
+            word += np.bincount(at[inside], weights=v[inside], minlength=n)
+            cross += np.bincount(at[~inside], weights=v[~inside], minlength=n)
         return word, word[self.first] + cross[self.first] + word[self.first + 1]
 
     def norms(self) -> tuple[np.ndarray, np.ndarray]:
@@ -422,10 +421,6 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-#: Tasks of the fit, and bytes of texts that one takes at once.
-TASKS, PIECE = 16, 1 << 18
-
-
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, np.ndarray]]:
     """Words and labels of the rows (label, text) of a task, in pieces."""
     for batch in batches:
@@ -489,7 +484,7 @@ def _score(model):
         for batch in batches:
             data, offsets = text_buffer(batch.column(2))
             score = np.zeros(batch.num_rows)
-            for lo, hi in chunks(offsets):
+            for lo, hi in chunks(offsets, PIECE):
                 score[lo:hi] = model.value.score(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))],
@@ -510,7 +505,7 @@ def _keep(model, text: int):
         for batch in batches:
             data, offsets = text_buffer(batch.column(text))
             keep = np.ones(batch.num_rows, dtype=bool)
-            for lo, hi in chunks(offsets):
+            for lo, hi in chunks(offsets, PIECE):
                 keep[lo:hi] = model.value.score(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) < 0.5
             yield batch.filter(pa.array(keep))
 
