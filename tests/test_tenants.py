@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from weftline.functions import prompts, urls
+from weftline.operators import listing as L
 from weftline.operators import pages, tenants
+from weftline.operators import settings as S
 from weftline.plans.tenant_queries import lengths
 from weftline.streaming import ingest
 from weftline.streaming.usage import read_stream
@@ -78,3 +80,23 @@ def test_ingestion_goes_on_where_it_ended(spark, tmp_path):
     assert len(first) == 2 and len({r["source_file"] for r in rows}) == 3
     whole = pages.chunk_documents(pages.documents(spark.read.parquet(source)).withColumn("source_file", F.format_string("%012d", "page_id")))
     assert {r["chunk_id"] for r in whole.collect()} == {r["chunk_id"] for r in rows}
+
+
+def test_settings_are_saved_reset_and_loaded(spark, tmp_path):
+    path, defaults = str(tmp_path / "settings"), ("Aide", ["Be brief"])
+    ids = spark.createDataFrame([(1,), (2,), (2,), (3,)], "setting_id long")
+    load = lambda: {r["setting_id"]: (r["role"], r["constraints"], r["last_modified_by"]) for r in S.load_prompts(spark, path, ids, defaults).collect()}
+    assert load() == {i: (*defaults, None) for i in (1, 2, 3)}
+    rows = [(1, " Guide ", ["Short", " short "]), (2, None, None)]
+    S.save_prompts(spark.createDataFrame(rows, "setting_id long, role string, constraints array<string>"), path, defaults, "ann")
+    assert load() == {1: ("Guide", ["Short"], "ann"), 2: (*defaults, "ann"), 3: (*defaults, None)}
+    S.reset_prompts(ids.where("setting_id = 1"), path, defaults, "bob")
+    assert load()[1] == (*defaults, "bob") and spark.read.parquet(path).count() == 3
+
+
+def test_seed_urls_are_found_in_any_form(spark):
+    registry = [(7, 2, "HTTPS://A.org/x/"), (8, 1, " a.org/x "), (9, 1, "https://a.org/x#y"), (1, 0, None), (2, 0, "  "), (3, 5, "https://b.org")]
+    wanted = ["https://a.org/x/", "https://b.org/", "https://c.org", None]
+    found = L.find_by_seed_url(spark.createDataFrame(registry, "context_id long, created_at long, seed_url string"), spark.createDataFrame([(w,) for w in wanted], "wanted_url string"))
+    got = {r["wanted_url"]: r["context_id"] for r in found.collect()}
+    assert got["https://a.org/x/"] in (8, 9) and got["https://b.org/"] == 3 and got["https://c.org"] is None and got[None] is None

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.urls import normalize_url
+
 MOST_ROWS, MOST_SEARCH = 100, 200
 
 
@@ -76,3 +78,15 @@ def progress(rows: DataFrame, by: str, status: str = "status") -> DataFrame:
     )
     state = F.when((F.col("pending") == 0) & (F.col("indexed") > 0), "ready").when(F.col("indexed") > 0, "partially_ready").otherwise("ingesting")
     return c.withColumn("processed", F.col("total") - F.col("pending")).withColumn("state", state)
+
+
+def find_by_seed_url(registry: DataFrame, wanted: DataFrame, order: str = "created_at") -> DataFrame:
+    """wanted_url, context_id: the first entry, by ``order`` and then id, whose seed URL is the wanted one, or null.
+
+    URLs are compared normalised; entries without one are never found.  The
+    registry has one row a URL left before the join.
+    """
+    usable = registry.where(F.trim(F.coalesce("seed_url", F.lit(""))) != "")
+    first = usable.groupBy(normalize_url(F.trim("seed_url")).alias("key")).agg(F.min(F.struct(F.col(order).alias("at"), "context_id"))["context_id"].alias("context_id"))
+    asked = wanted.select("wanted_url", normalize_url(F.trim("wanted_url")).alias("key"))
+    return asked.join(first, "key", "left").select("wanted_url", "context_id")

@@ -262,3 +262,8 @@ def recall_at_k(hits: DataFrame, expected: DataFrame, k: int = 5) -> DataFrame:
         "hit", F.forall("terms", lambda t: F.coalesce(F.contains(F.col("all"), F.lower(t)), F.lit(False)))
     )
     return scored.agg(F.round(F.coalesce(F.avg(F.col("hit").cast("int")), F.lit(0.0)), 4).alias("recall"), F.count(F.lit(1)).alias("queries"))
+
+
+def benchmark_sample(chunks: DataFrame, size: int = 250) -> DataFrame:
+    """The first ``size`` chunks by id, on which encoders are compared; the limit is the feature."""
+    return chunks.orderBy("chunk_id").limit(size)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.guards import sanitize
@@ -82,3 +82,38 @@ def prompt_error(role: Column, constraints: Column) -> Column:
         .when(F.coalesce(F.size(constraints), F.lit(0)) <= 0, "Constraints cannot be empty.")
         .when(F.exists(constraints, lambda c: F.coalesce(F.trim(c), F.lit("")) == ""), "Constraints cannot contain blank entries.")
     )
+
+
+#: A row of the table of settings; each save and each reset adds rows, and the newest of an id counts.
+STORED = "setting_id long, role string, constraints array<string>, last_modified timestamp, last_modified_by string"
+
+
+def save_prompts(prompts: DataFrame, path: str, defaults: tuple[str, list[str]], changed_by: str = "api", at: Column | None = None) -> None:
+    """Add setting_id, role, constraints to the table, normalised; nothing is turned down.
+
+    defaults: role and constraints.  Saving the defaults is ``reset_prompts``.
+    """
+    clean = normalize_prompt(prompts.select("setting_id", "role", "constraints"), *defaults)
+    stamped = clean.withColumns({"last_modified": F.current_timestamp() if at is None else at, "last_modified_by": F.lit(changed_by)})
+    stamped.select("setting_id", "role", "constraints", "last_modified", "last_modified_by").write.mode("append").parquet(path)
+
+
+def reset_prompts(ids: DataFrame, path: str, defaults: tuple[str, list[str]], changed_by: str = "api", at: Column | None = None) -> None:
+    """Back to the defaults for each setting_id; earlier rows stay as history."""
+    nothing = ids.select("setting_id", F.lit(None).cast("string").alias("role"), F.lit(None).cast("array<string>").alias("constraints"))
+    save_prompts(nothing, path, defaults, changed_by, at)
+
+
+def load_prompts(spark: SparkSession, path: str, ids: DataFrame, defaults: tuple[str, list[str]]) -> DataFrame:
+    """The settings in force of each distinct setting_id of ``ids``: the newest saved ones, normalised again, or the defaults.
+
+    An id without rows, or a table that isn't there yet, gives the defaults
+    with a null time and author.  Of rows saved at one time, the greatest by
+    author, role and constraints counts.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root)
+    rows = spark.read.schema(STORED).parquet(path) if there else spark.createDataFrame([], STORED)
+    newest = rows.groupBy("setting_id").agg(F.max(F.struct("last_modified", "last_modified_by", "role", "constraints")).alias("r"))
+    of_each = ids.select("setting_id").distinct().join(newest, "setting_id", "left").select("setting_id", "r.*")
+    return normalize_prompt(of_each, *defaults).select("setting_id", "role", "constraints", "last_modified", "last_modified_by")

@@ -64,6 +64,15 @@ def recall_at_k(spark, sf):
     return R.recall_at_k(hits, expected, 5)
 
 
+def benchmark_sample_recall(spark, sf):
+    """Recall at 5 over the sample of 250 that encoders are compared on."""
+    chunks, queries = _vectors(spark, sf)
+    sample = R.benchmark_sample(chunks)
+    hits = R.vector_topk(sample, queries, 5).join(F.broadcast(sample.select("chunk_id", F.concat(F.lit("Label "), F.col("label").cast("string")).alias("text"))), "chunk_id")
+    expected = queries.select("query_id", F.array(F.concat(F.lit("label "), F.col("label").cast("string"))).alias("terms"))
+    return R.recall_at_k(hits, expected, 5)
+
+
 def _benchmark(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
@@ -179,6 +188,11 @@ QUERIES = {
         recall_at_k,
         _TOP.format("", 5) + ", h AS (SELECT query_id, max((contains('label ' || label, 'label ' || qlabel))::INT) AS hit FROM t GROUP BY 1) SELECT round(avg(hit), 4) AS recall, count(*) AS queries FROM h",
     ),
+    "benchmark_sample_recall": (
+        benchmark_sample_recall,
+        _TOP.format("WHERE chunk_id IN (SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT 250)", 5)
+        + ", h AS (SELECT query_id, max((contains('label ' || label, 'label ' || qlabel))::INT) AS hit FROM t GROUP BY 1) SELECT round(avg(hit), 4) AS recall, count(*) AS queries FROM h",
+    ),
     "heuristic_rerank_topk": (heuristic_rerank_topk, f"WITH {_PAIR} SELECT query_id, doc_id, score, rank FROM top"),
     "rerank_margin": (
         rerank_margin,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import settings as S
-from ..storage import table
+from ..storage import fresh_path, table
 
 
 def _raw(spark, sf):
@@ -39,7 +39,30 @@ def prompt_validation(spark, sf):
     return _prompts(spark, sf).select("item_id", S.prompt_error(F.col("role"), F.col("constraints")).alias("error"))
 
 
+DEFAULTS = ("Assistant", ["Use the context"])
+
+
+def stored_settings(spark, sf):
+    """All prompts saved, some saved anew, some of those reset, and read back with ids that were never saved."""
+    path, at = fresh_path(spark, "settings"), lambda n: F.timestamp_seconds(F.lit(n))
+    p = _prompts(spark, sf).withColumn("setting_id", F.col("item_id").cast("long"))
+    S.save_prompts(p, path, DEFAULTS, "first", at(1))
+    S.save_prompts(p.where(F.col("setting_id") % 2 == 0).withColumn("role", F.lit(" Guide ")), path, DEFAULTS, "second", at(2))
+    S.reset_prompts(p.where(F.col("setting_id") % 5 == 0), path, DEFAULTS, "third", at(3))
+    ids = p.select("setting_id").unionByName(p.select((-F.col("setting_id") - 1).alias("setting_id")))
+    s = S.load_prompts(spark, path, ids, DEFAULTS)
+    return s.select("setting_id", "role", F.array_join("constraints", "|").alias("constraints"), F.unix_timestamp("last_modified").alias("saved"), "last_modified_by")
+
+
 QUERIES = {
+    "stored_settings": (
+        stored_settings,
+        """WITH i AS (SELECT DISTINCT item_id::BIGINT AS i FROM benchmark), k AS (SELECT i AS setting_id, i FROM i UNION ALL SELECT -i - 1, NULL FROM i)
+        SELECT setting_id, CASE WHEN i IS NULL OR i % 5 = 0 THEN 'Assistant' WHEN i % 2 = 0 THEN 'Guide' WHEN i % 4 = 0 THEN 'Assistant' ELSE 'Role ' || i END AS role,
+        CASE WHEN i IS NULL OR i % 5 = 0 THEN 'Use the context' ELSE ['Use the context', 'Be kind', 'Short'][i % 3 + 1] END AS constraints,
+        CASE WHEN i % 5 = 0 THEN 3 WHEN i % 2 = 0 THEN 2 WHEN i IS NOT NULL THEN 1 END::BIGINT AS saved,
+        CASE WHEN i % 5 = 0 THEN 'third' WHEN i % 2 = 0 THEN 'second' WHEN i IS NOT NULL THEN 'first' END AS last_modified_by FROM k""",
+    ),
     "generation_settings": (
         generation_settings,
         """SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'm1' ELSE 'default' END AS model, [10.0, 90.0, 60.0, 60.0][c_custkey % 4 + 1]::DOUBLE AS timeout_seconds,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
+from ..operators import listing as L
 from ..operators import tenants as N
 from ..storage import table
 
@@ -27,6 +28,16 @@ def context_readiness(spark, sf):
     return _objects(spark, sf).select("object_id", N.searchable_together(F.col("status")).alias("together"), N.searchable_alone(F.col("status")).alias("alone"))
 
 
+def seed_url_lookup(spark, sf):
+    """Contexts that share sites, asked for by URLs in another form, some of them unknown."""
+    o, n = _objects(spark, sf), table(spark, sf, "nation")
+    site = (F.col("client_id") % 20).cast("string")
+    seed = F.when(F.col("object_id") % 3 == 0, F.lit("  ")).when(F.col("object_id") % 3 == 1, F.concat(F.lit(" https://SHOP"), site, F.lit(".example.com/a/ "))).otherwise(F.concat(F.lit("shop"), site))
+    registry = o.select(F.col("object_id").alias("context_id"), "at", seed.alias("seed_url"))
+    wanted = n.select(F.concat(F.lit("https://shop"), F.col("n_nationkey").cast("string"), F.lit(".example.com/a#top")).alias("wanted_url"))
+    return L.find_by_seed_url(registry, wanted, "at")
+
+
 def cascade_delete(spark, sf):
     tables = {"objects": _objects(spark, sf).select("client_id"), "clients": _clients(spark, sf).select("client_id")}
     left = N.cascade_delete(tables, _clients(spark, sf).where("status = 'disabled'"))
@@ -101,6 +112,11 @@ QUERIES = {
         context_readiness,
         f"WITH {_OBJECTS} SELECT object_id, coalesce(status IN ('ready', 'partially_ready'), FALSE) AS together, coalesce(status NOT IN ('paused', 'failed'), TRUE) AS alone FROM o",
     ),
+    "seed_url_lookup": (
+        seed_url_lookup,
+        """SELECT 'https://shop' || n_nationkey || '.example.com/a#top' AS wanted_url,
+        (SELECT arg_min(o_orderkey, (o_orderdate, o_orderkey)) FROM orders WHERE o_orderkey % 3 = 1 AND o_custkey % 20 = n_nationkey) AS context_id FROM nation""",
+    ),
     "cascade_delete": (
         cascade_delete,
         """WITH r AS (SELECT 'objects' AS name, o_custkey AS client_id FROM orders UNION ALL SELECT 'clients', c_custkey FROM customer)
