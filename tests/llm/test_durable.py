@@ -4,11 +4,12 @@ import random
 import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weftline.llm import decontamination, exact_dedup, mixing, near_dedup, pii, shared, sharding, sparse_windows, substring_dedup, suffix_dedup
+from weftline.llm import decontamination, exact_dedup, kernels, mixing, near_dedup, pii, shared, sharding, sparse_windows, substring_dedup, suffix_dedup
 
 from .cases import by_id, documents, frame
 from .test_exact import COLUMNS, check_shards, decon_brute, near_brute, substring_brute, suffix_brute
@@ -158,6 +159,35 @@ def test_pipeline_over_odd_tables(spark, tmp_path):
         assert (corpus_pipeline.run(spark, str(d)).count() > 0) is bool(some)
 
 
+# -- words that patterns of bytes would make equal -----------------------------
+
+
+def alternating(n, first):
+    """Thue-Morse words of two letters: polynomials modulo 2**64 can't tell them apart from 1,024 bytes on."""
+    return "".join("ab"[(bin(i).count("1") + first) % 2] for i in range(n))
+
+
+def test_long_words_of_two_letters_differ(spark):
+    plain = [f"w{k}" for k in range(12)]
+    a, b = alternating(4096, 0), alternating(4096, 1)
+    rows = [(1, " ".join([*plain[:6], a, *plain[6:]]), "en", "a"), (2, " ".join([*plain[:6], b, *plain[6:]]), "en", "a"), (3, " ".join([*plain[:6], a, *plain[6:]]), "en", "a")]
+    docs = frame(spark, rows)
+    assert by_id(substring_dedup.remove_known(docs), "doc_id", "n_words", "n_removed") == [(1, 13, 0), (2, 13, 0), (3, 13, 13)]
+    assert by_id(near_dedup.near_duplicates(docs), "doc_id", "component_id") == [(1, 1), (2, 2), (3, 1)]
+    bench = spark.createDataFrame([(1, rows[0][1])], "item_id long, text string")
+    assert by_id(decontamination.contamination(docs, bench), "doc_id", "n_hit") == [(1, 13), (2, 0), (3, 13)]
+
+
+def test_word_hashes_in_pieces(monkeypatch):
+    """Words longer than a piece have the hash that they have in one piece."""
+    data = np.frombuffer(f"xy {alternating(900, 0)} z {alternating(333, 1)}  q".encode(), dtype=np.uint8)
+    whole = kernels.word_hashes(data, np.array([0, len(data)]), kernels.NOT_SPACE, False)
+    monkeypatch.setattr(kernels, "CHUNK", 50)
+    for x, y in zip(whole, kernels.word_hashes(data, np.array([0, len(data)]), kernels.NOT_SPACE, False), strict=True):
+        assert (x == y).all()
+    assert len(set(whole[2].tolist())) == 5
+
+
 # -- hot keys and long texts ------------------------------------------------------
 
 
@@ -168,6 +198,21 @@ def test_near_dedup_keeps_one_of_repeated_rows(spark):
     assert sorted(r["doc_id"] for r in kept if r["doc_id"]) == [1] and len(kept) == 3
 
 
+def test_near_dedup_confirms_one_link_whatever_the_repetitions(spark, monkeypatch):
+    base = " ".join(f"w{k}" for k in range(60))
+    confirmed, confirm = [], near_dedup.confirm
+
+    def counted(*args):
+        out = confirm(*args)
+        confirmed.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "confirm", counted)
+    docs = frame(spark, [(1, base, "en", "a"), (2, base + " x", "en", "a")]).crossJoin(spark.range(1000)).drop("id")
+    out = near_dedup.near_duplicates(docs).groupBy("doc_id", "component_id").count().collect()
+    assert sorted(map(tuple, out)) == [(1, 1, 1000), (2, 1, 1000)] and sum(confirmed) == 1
+
+
 def test_near_dedup_splits_hot_hubs(spark, monkeypatch):
     """A template family whose members share buckets, joined with every key split."""
     r = random.Random(4)

@@ -133,6 +133,14 @@ def test_toxicity_odd_cases(docs, tables, spark):
     assert toxicity.score(docs.limit(0), tables[1]).count() == 0
 
 
+def test_toxicity_without_signal_marks_nothing():
+    """Labels that the texts don't explain: no text may be marked by them, empty ones included."""
+    text = "one and the same text of some plain words"
+    for texts, labels in (([text, text], [1, 0]), ([text, text + " more"] * 8, [1, 0, 0, 1] * 4), ([text] * 9 + [""], [1] * 5 + [0] * 5)):
+        model = toxicity.fit(texts, labels)
+        assert model.score(*toxicity._joined([text, "", "other words here", *texts])).max() < 0.5
+
+
 def test_kernel_is_the_subsequence_kernel():
     """The explicit features give the gap-weighted kernel of two words, by brute force."""
     from itertools import combinations

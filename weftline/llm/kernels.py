@@ -1,7 +1,10 @@
 """Vectorised hashing of bytes and word sequences for Arrow batches.
 
-The hash of a substring is a polynomial over random 64-bit values per byte (or
-per unit), modulo 2**64, taken from prefix sums, so any substring costs O(1).
+The hash of a run of units is a polynomial over random 64-bit values per unit,
+modulo 2**64, taken from prefix sums, so any run costs O(1).  Runs are short (a
+few hundred units at most): from about a thousand units on, alternating patterns
+of two units would cancel out modulo 2**64.  Words, which may be of any length,
+are hashed by sums over their bytes instead.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ U64 = np.uint64
 CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 5
 _ROUND = 0xBF58476D1CE4E5B9
+_PLACE = 0xD1342543DE82EF95
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -135,20 +139,26 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> t
 def word_hashes(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """starts, ends, 64-bit hashes of all words, and the index of each document's first word.
 
-    The bytes are hashed in pieces, so memory follows the number of words.
+    A word's hash is the sum of one mixed value for each byte and its place in
+    the word, so no pattern of bytes cancels out.  The bytes are hashed in
+    pieces, however long a word is; memory follows the number of words.
     """
     if lower:
         data = LOWER[data]
     starts, ends = word_bounds(data, offsets, is_word)
-    hashes = np.empty(len(starts), dtype=U64)
-    lo = 0
-    while lo < len(starts):
-        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + CHUNK, "right")))
-        a, z = starts[lo], ends[hi - 1]
-        p = Prefix(BYTE_VALUES[data[a:z]])
-        hashes[lo:hi] = p.hash(starts[lo:hi] - a, ends[lo:hi] - a)
-        lo = hi
-    return starts, ends, hashes, np.searchsorted(starts, offsets)
+    hashes = (ends - starts).astype(U64)
+    for lo in range(0, len(data), CHUNK):
+        hi = min(lo + CHUNK, len(data))
+        i, j = int(np.searchsorted(ends, lo, "right")), int(np.searchsorted(starts, hi, "left"))
+        if i == j:
+            continue
+        begin = np.maximum(starts[i:j], lo)
+        n = np.minimum(ends[i:j], hi) - begin
+        first = np.r_[0, np.cumsum(n)[:-1]]
+        at = np.repeat(begin - first, n) + np.arange(int(n.sum()))
+        place = (at - np.repeat(starts[i:j], n)).astype(U64)
+        hashes[i:j] += np.add.reduceat(mix(BYTE_VALUES[data[at]] + place * U64(_PLACE)), first)
+    return starts, ends, mix(hashes), np.searchsorted(starts, offsets)
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:

@@ -170,14 +170,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     texts = docs.select("doc_id", "text")
     signed = materialize(texts.mapInArrow(_sign, SIGNATURE), "near-signatures")
-    groups = signed.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
-    groups = materialize(groups, "near-groups")
-    # one signature per distinct set: of the row whose doc_id is the node
-    nodes = signed.join(
-        groups.where("node IS NOT NULL").select("node", F.col("f1").alias("g1"), F.col("f2").alias("g2")),
-        (F.col("doc_id") == F.col("node")) & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")),
-    ).select("node", "n", "sketch", "bands")
-    nodes = materialize(nodes, "near-nodes")
+    # equal sets have equal signatures: one node for each, whatever rows hold it
+    sets_of = signed.where("n > 0").groupBy("f1", "f2", "n", "sketch", "bands").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
+    sets_of = materialize(sets_of, "near-groups")
+    groups = sets_of.select("f1", "f2", "node", "copies")
+    nodes = sets_of.where("node IS NOT NULL").select("node", "n", "sketch", "bands")
     limit = most_differing_bits(percent)
     bands = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     hubs = bands.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count(F.lit(1)).alias("members")).where("hub < last")
@@ -198,7 +195,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     members = materialize(crowded.select("node").distinct(), "near-members")
     wanted = texts.join(members.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    sets = materialize(wanted.mapInArrow(_sets, "node long, grams array<long>"), "near-sets")
+    # rows that repeat a document give its set once
+    sets = materialize(wanted.mapInArrow(_sets, "node long, grams array<long>").distinct(), "near-sets")
     links = materialize(confirm(star, sets, percent), "near-links")
     comps = materialize(connected_components(links), "near-components")
 

@@ -29,8 +29,9 @@ and margins run in tasks; the driver solves for the machine on the chosen
 instances.  Every whole text is scored.
 
 Defined cases: null and empty texts score like a text without any marked word;
-contradictory labels of one document count as toxic; no usable labels give
-score 0 throughout; repeated rows get equal scores; extra columns are ignored.
+contradictory labels of one document count as toxic; no usable labels, or a fit
+that can't tell its toxic texts from its clean ones, give score 0 throughout;
+repeated rows get equal scores; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -60,6 +61,8 @@ LANDMARKS = 256
 ROUNDS = 3
 #: Of a clean document's instances, the HARD strongest and every OTHER-th of the rest are trained on.
 HARD, OTHER = 3, 256
+#: Mean score by which the toxic texts of the fit must be above its clean ones; else there is nothing to mark by.
+LEAST_SIGNAL = 0.1
 #: One label row in FOLDS is held out.
 FOLDS = 5
 
@@ -374,7 +377,11 @@ def train(rate: float, counts, chosen, summaries) -> Model:
         weight = many * np.where(target > 0, 0.5 / many[target > 0].sum(), 0.5 / many[target < 0].sum()) * many.sum()
         scorer = Machine(marks).fit(said, target, weight)
     x, y = summaries(scorer)
-    return Model(scorer, fit_logistic(x, y.astype(float), 1.0))
+    weights = fit_logistic(x, y.astype(float), 1.0)
+    said = sigmoid(apply(weights, x))
+    if said[y == 1].mean() - said[y == 0].mean() < LEAST_SIGNAL:
+        return Model(None)
+    return Model(scorer, weights)
 
 
 def fit(texts: list[str | None], labels: list[int]) -> Model:
