@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import contamination
 from .exact_dedup import decisions
+from .infill import digests
+from .lattice_dedup import near_duplicates as near_vectors
+from .merkle import verification
 from .mixing import mix_report
 from .near_dedup import near_duplicates
 from .pii import find
@@ -67,6 +70,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form, parts and digests of every document with its middle moved to the end."""
+    return digests(table(spark, sf_dir, "documents"))
+
+
+def op12_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector among those of its label."""
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and whether it still fits after tampering."""
+    return verification(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_near_dedup": op2_near_dedup,
@@ -78,4 +96,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality": op10_quality,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_lattice_dedup": op12_lattice_dedup,
+    "op13_merkle": op13_merkle,
 }
