@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..operators import context as C
 from ..operators import retrieval as R
-from ..storage import table
+from ..operators.vector_index import VectorIndex
+from ..storage import fresh_path, table
 from .text_queries import TERMS
 
 
@@ -43,6 +44,34 @@ def vector_multi_source_topk(spark, sf):
     return R.multi_source_topk(hits, 10).select("query_id", "label", "chunk_id", "distance", "rank")
 
 
+def vector_index_topk(spark, sf):
+    """The 10 nearest by an index that is built, written and opened again; the exact search."""
+    chunks, queries = _vectors(spark, sf)
+    path = fresh_path(spark, "vector-index")
+    VectorIndex.build(chunks, path)
+    return VectorIndex(spark, path).search(queries).select("query_id", "chunk_id", "distance", "rank")
+
+
+def vector_index_filtered(spark, sf):
+    """The same within the query's label, over an index that grew by a second generation."""
+    chunks, queries = _vectors(spark, sf)
+    index = VectorIndex.build(chunks.where("chunk_id % 3 <> 0"), fresh_path(spark, "vector-index"))
+    index.add(chunks.where("chunk_id % 3 = 0"))
+    return index.search(queries, same_label=True).select("query_id", "chunk_id", "distance", "rank")
+
+
+def vector_index_recall(spark, sf):
+    """Whether a near search finds nine in ten of the true 10 nearest, and only exact distances."""
+    chunks, queries = _vectors(spark, sf)
+    near = VectorIndex.build(chunks, fresh_path(spark, "vector-index")).search(queries, exact=False)
+    near = near.select("query_id", "chunk_id", F.col("distance").alias("found"))
+    both = R.vector_topk(chunks, queries, 10).join(near, ["query_id", "chunk_id"], "left")
+    return both.agg(
+        F.count_distinct("query_id").alias("queries"), F.count(F.lit(1)).alias("neighbours"),
+        (F.count("found") >= 0.9 * F.count(F.lit(1))).alias("enough"), F.coalesce(F.bool_and(F.col("found") == F.col("distance")), F.lit(True)).alias("exact"),
+    )
+
+
 def variant_merge_min_distance(spark, sf):
     e = table(spark, sf, "embeddings")
     chunks, queries = _vectors(spark, sf)
@@ -165,6 +194,12 @@ _BLOCK = r"""'[S' || position || ']' || chr(10) || 'Title: Doc ' || doc_id || ch
 QUERIES = {
     "vector_topk": (vector_topk, _TOP.format("", 10) + " SELECT query_id, chunk_id, distance, rank FROM t"),
     "vector_topk_filtered": (vector_topk_filtered, _TOP.format("WHERE label = qlabel", 10) + " SELECT query_id, chunk_id, distance, rank FROM t"),
+    "vector_index_topk": (vector_index_topk, _TOP.format("", 10) + " SELECT query_id, chunk_id, distance, rank FROM t"),
+    "vector_index_filtered": (vector_index_filtered, _TOP.format("WHERE label = qlabel", 10) + " SELECT query_id, chunk_id, distance, rank FROM t"),
+    "vector_index_recall": (
+        vector_index_recall,
+        _TOP.format("", 10) + " SELECT count(DISTINCT query_id) AS queries, count(*) AS neighbours, true AS enough, true AS exact FROM t",
+    ),
     "vector_within_distance": (vector_within_distance, _TOP.format("", 10) + " SELECT query_id, chunk_id, distance, rank FROM t WHERE distance <= 1.5"),
     "vector_multi_source_topk": (
         vector_multi_source_topk,

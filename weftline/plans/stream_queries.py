@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators.discovery import discover
 from ..storage import fresh_path, table
 from ..streaming import ingest as I
+from ..streaming import lifecycle as L
 from ..streaming import usage as S
 
 
@@ -23,6 +24,19 @@ def stream_dedup(spark, sf):
     return S.run_to_table(docs.withColumn("n", F.lit(1)), ["hash"], "dedup").select("hash")
 
 
+def stream_cooldown_sweep(spark, sf):
+    """Cooldowns of ten seconds, until all have ended by their timers: who was in one, and the state of each client then."""
+    path = fresh_path(spark, "cooldowns")
+    out = L.sweep(L.cooldown_stream(S.read_stream(spark, f"{sf}/events.parquet"), 250, 10_000), path, f"{path}-checkpoint")
+    return out.select("client_id", "day", "tokens", "status", "swept")
+
+
+def stream_expiring_rollup(spark, sf):
+    """The rollup from state that goes 90 days after a client's day was last touched."""
+    path = fresh_path(spark, "expiring-rollup")
+    return L.merged_rollup(L.run(L.expiring_rollup(S.read_stream(spark, f"{sf}/events.parquet")), path, f"{path}-checkpoint"))
+
+
 def stream_ingest(spark, sf):
     path = fresh_path(spark, "ingest")
     I.ingest(S.read_stream(spark, f"{sf}/pages.parquet"), path, f"{path}-checkpoint")
@@ -48,6 +62,16 @@ QUERIES = {
         l AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY day DESC) = 1)
         SELECT client_id, day, tokens, CASE WHEN tokens >= 250 THEN 'cooldown' WHEN tokens * 100 >= 90 * 250 THEN 'limited' ELSE 'active' END AS status FROM l""",
     ),
+    "stream_cooldown_sweep": (
+        stream_cooldown_sweep,
+        """WITH d AS (SELECT user_id AS client_id, strftime(ts, '%Y-%m-%d') AS day, sum(greatest(coalesce(floor(value), 0), 0)::BIGINT)::BIGINT AS tokens FROM events WHERE ts IS NOT NULL GROUP BY 1, 2),
+        l AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY day DESC) = 1)
+        SELECT client_id, day, tokens, CASE WHEN tokens < 250 AND tokens * 100 >= 90 * 250 THEN 'limited' ELSE 'active' END AS status, tokens >= 250 AS swept FROM l""",
+    ),
+    "stream_expiring_rollup": (
+        stream_expiring_rollup,
+        "SELECT strftime(ts, '%Y-%m-%d') AS day, user_id AS client_id, sum(greatest(coalesce(floor(value), 0), 0)::BIGINT)::BIGINT AS tokens, count(*) AS requests FROM events GROUP BY 1, 2",
+    ),
     "stream_dedup": (stream_dedup, r"SELECT DISTINCT sha256(trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g'))) AS hash FROM documents"),
     "stream_ingest": (stream_ingest, None),
     "discovery_levels": (
