@@ -112,3 +112,7 @@ def test_recall_at_the_threshold():
     assert meet(0.93 * x + np.sqrt(1 - 0.93**2) * z).mean() > 0.995
     assert meet(0.98 * x + np.sqrt(1 - 0.98**2) * z).mean() == 1
     assert meet(z).mean() < 0.01
+    # of the sketches, none of the pairs at the threshold is lost, and hardly an unrelated one stays
+    differ = lambda y: np.bitwise_count(lattice.sketches(x).view(np.uint64) ^ lattice.sketches(y).view(np.uint64)).sum(axis=1)
+    most = lattice.most_differing_signs(0.93)
+    assert (differ(0.93 * x + np.sqrt(1 - 0.93**2) * z) <= most).mean() > 0.999 and (differ(z) <= most).mean() < 0.001

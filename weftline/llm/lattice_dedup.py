@@ -8,8 +8,11 @@ lie nearest to it.  Two vectors meet in a cell if it is the home of both, or the
 home of one and a probe of the other.
 
 Equal vectors of a label become one node first.  Cells in which nothing can meet
-are dropped on their keys alone, before any vector is shuffled.  In a cell the
-cosines come from products of blocks of vectors in double precision, and what
+are dropped on their keys alone; in the others, nodes come first with a sketch of
+BITS signs of random projections each, and only those stay of which another's
+sketch differs in few enough bits (five standard deviations above what the
+threshold makes likely).  So vectors are shuffled only for nodes that have a
+near one.  In a cell the cosines come from products of blocks of vectors in double precision, and what
 leaves it is one row per node: the number of its links and one link towards the
 rest of its component; pairs are never emitted.  A pair that meets in several
 cells counts in the one of the least key.  Cells of over SPLIT nodes are split
@@ -52,7 +55,11 @@ ROWS, PAIRS = 512, 1 << 16
 #: Cells of at most this many nodes are compared many at a time.
 SMALL = 24
 
-SIGNED = "node long, copies long, vec binary, homes array<long>, probes array<long>"
+#: Signs in a sketch, and standard deviations by which a pair at the threshold may differ more than it is likely to.
+BITS, DEVIATIONS = 128, 5
+
+SIGNED = "node long, copies long, vec binary, homes array<long>, probes array<long>, s1 long, s2 long"
+MET = "key long, i int, j int, side int, node long, home int"
 FOUND = "node long, links long, towards long"
 
 
@@ -120,6 +127,19 @@ def cells(unit: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return homes, probes.reshape(n, TABLES * PROBES)
 
 
+def sketches(unit: np.ndarray) -> np.ndarray:
+    """Signs of BITS random projections, as two numbers."""
+    d = unit.shape[1]
+    directions = np.random.Generator(np.random.PCG64([8, d])).normal(size=(d, BITS))
+    return np.packbits(unit @ directions > 0, axis=1).view(np.int64)  # the columns that Spark has
+
+
+def most_differing_signs(cosine: float) -> int:
+    """Bits in which a pair at ``cosine`` may differ: each does with the share of the half turn that its angle is."""
+    p = np.arccos(np.clip(cosine, -1, 1)) / np.pi
+    return int(BITS * p + DEVIATIONS * (BITS * p * (1 - p)) ** 0.5) + 1
+
+
 def unit_vectors(x: np.ndarray) -> np.ndarray:
     """Scaled by the largest component first, so that no square over- or underflows."""
     x = x / np.abs(x).max(axis=1)[:, None]
@@ -141,14 +161,17 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 unit = unit_vectors(values[first[at][:, None] + np.arange(d)])
                 homes, probes = cells(unit, mix(labels[at].view(U64) * U64(0x9E3779B97F4A7C15) + U64(d)))
                 take = pa.array(at)
+                signs = sketches(unit)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(take),
                         batch.column(1).take(take),
                         pa.array([v.tobytes() for v in unit], type=pa.binary()),
                         *(pa.ListArray.from_arrays(pa.array((np.arange(len(at) + 1) * k.shape[1]).astype(np.int32)), pa.array(k.view(np.int64).ravel())) for k in (homes, probes)),
+                        pa.array(signs[:, 0]),
+                        pa.array(signs[:, 1]),
                     ],
-                    names=["node", "copies", "vec", "homes", "probes"],
+                    names=["node", "copies", "vec", "homes", "probes", "s1", "s2"],
                 )
 
 
@@ -156,20 +179,44 @@ class _Cells:
     """The rows of some cells, as arrays; the rows of a cell follow each other."""
 
     def __init__(self, batches: list[pa.RecordBatch]):
-        table = pa.Table.from_batches(batches).combine_chunks()
-        self.key, self.i, self.j, self.side, self.node, self.copies = (table[c].to_numpy() for c in ("key", "i", "j", "side", "node", "copies"))
-        self.home = table["home"].to_numpy().astype(bool)
-        n = len(self.key)
-        lists = lambda c: table[c].combine_chunks().flatten().to_numpy()
+        self.table = pa.Table.from_batches(batches).combine_chunks()
+        self.key, self.i, self.j, self.side, self.node = (self.table[c].to_numpy() for c in ("key", "i", "j", "side", "node"))
+        self.home = self.table["home"].to_numpy().astype(bool)
+        self.cell = np.r_[_starts(self.key, self.i, self.j), len(self.key)]
+
+
+class _Sketched(_Cells):
+    """Rows with sketches, which are close if they differ in few bits."""
+
+    def __init__(self, batches: list[pa.RecordBatch], cosine: float):
+        super().__init__(batches)
+        self.most = most_differing_signs(cosine)
+        self.signs = [self.table[c].to_numpy().view(U64) for c in ("s1", "s2")]
+
+    def close(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of rows a (..., m) and b (..., n), whether each pair is close."""
+        return sum(np.bitwise_count(s[a][..., :, None] ^ s[b][..., None, :]).astype(np.int16) for s in self.signs) <= self.most
+
+
+class _Vectors(_Cells):
+    """Rows with vectors, which are close if their cosine says so."""
+
+    def __init__(self, batches: list[pa.RecordBatch], cosine: float):
+        super().__init__(batches)
+        self.cosine, n = cosine, len(self.key)
+        self.copies = self.table["copies"].to_numpy()
+        lists = lambda c: self.table[c].combine_chunks().flatten().to_numpy()
         self.homes, self.probes = lists("homes").reshape(n, TABLES), lists("probes").reshape(n, TABLES, PROBES)
-        data, offsets = text_buffer(table["vec"].combine_chunks())
+        data, offsets = text_buffer(self.table["vec"].combine_chunks())
         self.values, self.start = data.view(np.float64), offsets // 8
-        self.cell = np.r_[_starts(self.key, self.i, self.j), n]
 
     def vectors(self, at: np.ndarray) -> np.ndarray:
-        """The vectors of some rows, all of one length."""
-        d = self.start[at[0] + 1] - self.start[at[0]]
-        return self.values[self.start[at][:, None] + np.arange(d)]
+        """The vectors of some rows, all of one length: the key of a cell covers it."""
+        d = self.start[at.flat[0] + 1] - self.start[at.flat[0]]
+        return self.values[self.start[at][..., None] + np.arange(d)]
+
+    def close(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.vectors(a) @ self.vectors(b).swapaxes(-1, -2) >= self.cosine
 
 
 def _starts(*columns: np.ndarray) -> np.ndarray:
@@ -181,7 +228,7 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def counted_here(c: _Cells, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def counted_here(c: _Vectors, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether the pairs of rows (a, b) count in the cell that they are in: of all cells where they meet, that of the least key."""
     most = np.iinfo(np.int64).max
     ha, hb = c.homes[a], c.homes[b]
@@ -192,44 +239,50 @@ def counted_here(c: _Cells, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return least.min(axis=1) == c.key[a]
 
 
-def _close_in_large(c: _Cells, lo: int, hi: int, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of one cell at or above ``cosine``."""
-    x = c.vectors(np.arange(lo, hi))
-    side, home = c.side[lo:hi], c.home[lo:hi]
-    for r in range(0, hi - lo, ROWS):
-        for s in range(r, hi - lo, ROWS):
-            close = x[r : r + ROWS] @ x[s : s + ROWS].T >= cosine
+def _close_in_large(c: _Sketched | _Vectors, lo: int, hi: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Close pairs of rows of one cell."""
+    for r in range(lo, hi, ROWS):
+        a = np.arange(r, min(r + ROWS, hi))
+        for s in range(r, hi, ROWS):
+            b = np.arange(s, min(s + ROWS, hi))
+            close = c.close(a, b) & (c.home[a, None] | c.home[None, b])
             if r == s:
                 close &= np.triu(np.ones(close.shape, dtype=bool), 1)
-            close &= home[r : r + ROWS, None] | home[None, s : s + ROWS]
             if c.i[lo] != c.j[lo]:  # two blocks of a split cell; pairs within a block have a cell of their own
-                close &= side[r : r + ROWS, None] != side[None, s : s + ROWS]
-            a, b = np.nonzero(close)
-            for k in range(0, len(a), PAIRS):
-                yield lo + r + a[k : k + PAIRS], lo + s + b[k : k + PAIRS]
+                close &= c.side[a, None] != c.side[None, b]
+            x, y = np.nonzero(close)
+            for k in range(0, len(x), PAIRS):
+                yield a[x[k : k + PAIRS]], b[y[k : k + PAIRS]]
 
 
-def _close_in_small(c: _Cells, starts: np.ndarray, m: int, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The same for many cells of ``m`` rows."""
+def _close_in_small(c: _Sketched | _Vectors, starts: np.ndarray, m: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same for many cells of ``m`` rows and of vectors of one length."""
     p, q = np.triu_indices(m, 1)
     step = max(1, PAIRS // len(p))
-    length = c.start[starts + 1] - c.start[starts]
-    for d in np.unique(length).tolist():
-        of_length = starts[length == d]
-        for k in range(0, len(of_length), step):
-            at = of_length[k : k + step]
-            rows = at[:, None] + np.arange(m)
-            x = c.vectors(rows.ravel()).reshape(len(at), m, d)
-            home = c.home[rows]
-            close = ((x @ x.transpose(0, 2, 1))[:, p, q] >= cosine) & (home[:, p] | home[:, q])
-            cell, pair = np.nonzero(close)
-            yield at[cell] + p[pair], at[cell] + q[pair]
+    for k in range(0, len(starts), step):
+        at = starts[k : k + step]
+        rows = at[:, None] + np.arange(m)
+        home, side, split = c.home[rows], c.side[rows], (c.i[at] != c.j[at])[:, None]
+        close = c.close(rows, rows)[:, p, q] & (home[:, p] | home[:, q]) & (~split | (side[:, p] != side[:, q]))
+        cell, pair = np.nonzero(close)
+        yield at[cell] + p[pair], at[cell] + q[pair]
+
+
+def close_pairs(c: _Sketched | _Vectors) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Close pairs of rows of all cells, some at a time."""
+    size = np.diff(c.cell)
+    small = (size > 1) & (size <= SMALL)
+    length = np.diff(c.start)[c.cell[:-1]] if isinstance(c, _Vectors) else np.zeros(len(size), dtype=np.int64)
+    for m, d in sorted(set(zip(size[small].tolist(), length[small].tolist(), strict=True))):
+        yield from _close_in_small(c, c.cell[:-1][(size == m) & (length == d)], m)
+    for k in np.flatnonzero(size > SMALL).tolist():
+        yield from _close_in_large(c, int(c.cell[k]), int(c.cell[k + 1]))
 
 
 class _Tally:
     """Links and components of the rows of some cells."""
 
-    def __init__(self, c: _Cells):
+    def __init__(self, c: _Vectors):
         self.c, self.links = c, np.zeros(len(c.key), dtype=np.int64)
         self.low = np.arange(len(c.key))
 
@@ -274,17 +327,29 @@ def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBa
         yield held
 
 
+def _survivors(cosine: float):
+    """Rows with sketches to those that have a close one in their cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lot in _whole_cells(batches):
+            c = _Sketched(lot, cosine)
+            keep = np.zeros(len(c.key), dtype=bool)
+            for a, b in close_pairs(c):
+                keep[a] = keep[b] = True
+            yield from c.table.filter(pa.array(keep)).select(["key", "i", "j", "side", "node", "home"]).to_batches()
+
+    return run
+
+
 def _compare(cosine: float):
+    """Rows with vectors to the links of their nodes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lot in _whole_cells(batches):
-            c = _Cells(lot)
-            tally, size = _Tally(c), np.diff(c.cell)
-            for m in np.unique(size[(size > 1) & (size <= SMALL)]).tolist():
-                for a, b in _close_in_small(c, c.cell[:-1][size == m], m, cosine):
-                    tally.add(a, b)
-            for k in np.flatnonzero(size > SMALL).tolist():
-                for a, b in _close_in_large(c, int(c.cell[k]), int(c.cell[k + 1]), cosine):
-                    tally.add(a, b)
+            c = _Vectors(lot, cosine)
+            tally = _Tally(c)
+            for a, b in close_pairs(c):
+                tally.add(a, b)
             yield tally.rows()
 
     return run
@@ -313,18 +378,18 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         F.transform("homes", lambda x: F.struct(x.alias("key"), F.lit(1).alias("home"))),
         F.transform("probes", lambda x: F.struct(x.alias("key"), F.lit(0).alias("home"))),
     )
-    keys = signed.select("node", F.explode(meet).alias("x")).select("node", "x.key", "x.home")
+    keys = signed.select("node", "s1", "s2", F.explode(meet).alias("x")).select("node", "s1", "s2", "x.key", "x.home")
     crowded = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("home").alias("at_home")).where("n > 1 AND at_home > 0")
     crowded = materialize(crowded.select("key", "n"), "lattice-crowded")
     total = signed.count() * TABLES * (1 + PROBES)
     met = join_groups(keys, crowded, ["key"], "n", total).where("n IS NOT NULL")
     parts, own = F.ceil(F.col("n") / SPLIT).cast("int"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     met = met.withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "home")
-    met = materialize(met, "lattice-met")
-    cells_ = met.join(signed, "node").select("key", "i", "j", "side", "home", "node", "copies", "vec", "homes", "probes")
-    cells_ = cells_.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    found = materialize(cells_.mapInArrow(_compare(cosine), FOUND), "lattice-found")
+    met = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "home", "s1", "s2")
+    by_cell = lambda rows: rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    met = materialize(by_cell(met).mapInArrow(_survivors(cosine), MET), "lattice-met")
+    near = met.join(signed.drop("s1", "s2"), "node").select(*met.columns, "copies", "vec", "homes", "probes")
+    found = materialize(by_cell(near).mapInArrow(_compare(cosine), FOUND), "lattice-found")
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     comps = connected_components(found.select(F.col("node").alias("a"), F.col("towards").alias("b")))
