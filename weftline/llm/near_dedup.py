@@ -11,9 +11,10 @@ sketch drop those below the threshold; links are confirmed on full sets.
 At similarity 0.85 a pair misses all bands with probability (1-0.85^8)^48 <
 3e-7, and the sketch's limit lies five standard deviations off.
 
-No bucket emits all of its pairs.  Round one tests each member against the
-smallest node of its bucket.  Members that then share a component need no
-further test.  Round two takes only buckets that still hold several components
+No bucket emits all of its pairs.  Round one tests each node against the least
+of its hubs, the smallest nodes of its buckets, and then against those of its
+hubs that are of another component.  Members that then share a component need
+no further test.  Round two takes only buckets that still hold several components
 and tests members of different ones, with the sketch inside the join condition;
 bands are long, so texts of similarity 0.5 share a bucket in one of five cases,
 not in most.  Buckets and nodes that many rows share are split over tasks.
@@ -166,6 +167,10 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
     return both.where(shared * 100 >= union * percent).select("a", "b")
 
 
+def _as_edges(comps: DataFrame) -> DataFrame:
+    return comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     texts = docs.select("doc_id", "text")
@@ -189,16 +194,27 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sketch_b = sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     sized = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
     near = sized & (sketch_distance(F.col("sa"), F.col("sb")) <= limit)
-    star = materialize(crowded.where("hub < node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "near-spokes")
-    star = join_split(star, sketch_a, "a", ["b"], star.count()).join(sketch_b, "b")
-    star = materialize(star.where(near).select("a", "b"), "near-star")
+    def alike(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b) that their sketches don't tell apart."""
+        both = join_split(pairs, sketch_a, "a", ["b"], pairs.count()).join(sketch_b, "b")
+        return materialize(both.where(near).select("a", "b"), name)
 
     members = materialize(crowded.select("node").distinct(), "near-members")
     wanted = texts.join(members.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
     # rows that repeat a document give its set once
     sets = materialize(wanted.mapInArrow(_sets, "node long, grams array<long>").distinct(), "near-sets")
-    links = materialize(confirm(star, sets, percent), "near-links")
-    comps = materialize(connected_components(links), "near-components")
+
+    # each node meets its least hub; its other hubs only where they are of another component then
+    spokes = materialize(crowded.where("hub < node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "near-spokes")
+    star = alike(materialize(spokes.groupBy("b").agg(F.min("a").alias("a")), "near-first"), "near-star")
+    comps = materialize(connected_components(confirm(star, sets, percent)), "near-first-components")
+    label = materialize(members.join(comps, "node", "left").select("node", F.coalesce("component", "node").alias("c")), "near-labels")
+    label_a, label_b = (label.select(F.col("node").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
+    apart = join_split(spokes, label_a, "a", ["b"], spokes.count()).join(label_b, "b").where("ca <> cb").select("a", "b")
+    star_late = alike(materialize(apart, "near-apart"), "near-star-late")
+    links = materialize(confirm(star_late, sets, percent), "near-links")
+    star = star.unionByName(star_late)
+    comps = materialize(connected_components(_as_edges(comps).unionByName(links)), "near-components")
 
     labelled = crowded.select("key", "band", "node").join(comps, "node", "left").withColumn("c", F.coalesce("component", "node"))
     labelled = materialize(labelled.drop("component"), "near-labelled")
@@ -214,7 +230,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     more = materialize(more.join(star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti"), "near-more")
     late = materialize(confirm(more, sets, percent), "near-late-links")
     if late.head() is not None:
-        comps = materialize(connected_components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late)), "near-all")
+        comps = materialize(connected_components(_as_edges(comps).unionByName(late)), "near-all")
 
     placed = groups.join(comps, "node", "left").select("f1", "f2", "copies", F.coalesce("component", "node").alias("component_id"))
     placed = materialize(placed, "near-placed")
