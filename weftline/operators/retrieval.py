@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import QUERY_STOPWORDS, adjacent_pairs, alnum_text, meaningful_terms
+from ..functions.text import QUERY_STOPWORDS, adjacent_pairs, meaningful_terms
+from .postings import match, phrase_postings, query_phrases
 
 #: Queries that are broadcast together; more are answered block by block.
 QUERY_BLOCK = 4096
@@ -243,13 +244,7 @@ def lexical_topk(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
 def phrase_hits(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, doc_id where two neighbouring terms of the query stand in the document."""
-    out = None
-    for block in query_block(queries):
-        d = docs.select("doc_id", alnum_text(F.col("text")).alias("t")).crossJoin(F.broadcast(block))
-        found = F.filter("queries", lambda q: F.exists(q["pairs"], lambda p: F.contains(F.col("t"), p)))
-        hits = d.select("doc_id", F.explode(F.transform(found, lambda q: q["id"])).alias("query_id"))
-        out = hits if out is None else out.unionByName(hits)
-    return out.select("query_id", "doc_id")
+    return match(phrase_postings(docs), query_phrases(queries))
 
 
 def recall_at_k(hits: DataFrame, expected: DataFrame, k: int = 5) -> DataFrame:

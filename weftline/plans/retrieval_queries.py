@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..operators import context as C
 from ..operators import retrieval as R
+from ..operators.postings import PhraseIndex
 from ..operators.vector_index import VectorIndex
 from ..storage import fresh_path, table
 from .text_queries import TERMS
@@ -125,6 +126,15 @@ def phrase_hits(spark, sf):
     )
 
 
+def phrase_index_hits(spark, sf):
+    """The same from postings that are written and opened again."""
+    path = fresh_path(spark, "phrases")
+    PhraseIndex.build(table(spark, sf, "documents"), path)
+    return PhraseIndex(spark, path).search(_benchmark(spark, sf)).groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"), F.sum("doc_id").alias("sum_ids")
+    )
+
+
 def _contexts(spark, sf, budget=1200):
     top = _lexical(spark, sf)
     d = table(spark, sf, "documents").select("doc_id", "text", "source")
@@ -191,6 +201,12 @@ q AS (SELECT *, CASE WHEN low = '' THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, grea
 f AS (SELECT *, round(0.35::DOUBLE * 0.8::DOUBLE + 0.3::DOUBLE * 0.7::DOUBLE + 0.2::DOUBLE * g + 0.15::DOUBLE * quality, 6) AS score FROM q)"""
 _BLOCK = r"""'[S' || position || ']' || chr(10) || 'Title: Doc ' || doc_id || chr(10) || 'URL: https://example.com/' || source || chr(10) || 'Section: ' || chr(10) || 'Rerank Score: ' || printf('%.4f', score) || chr(10) || 'Content:' || chr(10) || text"""
 
+_PHRASES = rf"""WITH q AS (SELECT item_id AS query_id, {TERMS.format('text')} AS qt FROM benchmark),
+p AS (SELECT DISTINCT query_id, qt[i] || ' ' || qt[i + 1] AS p FROM (SELECT *, unnest(range(1, len(qt))) AS i FROM q)),
+d AS (SELECT doc_id, array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), ' ') AS t FROM documents),
+h AS (SELECT DISTINCT query_id, doc_id FROM p, d WHERE contains(t, p))
+SELECT query_id, count(*) AS n_docs, min(doc_id) AS first_doc, sum(doc_id)::BIGINT AS sum_ids FROM h GROUP BY 1"""
+
 QUERIES = {
     "vector_topk": (vector_topk, _TOP.format("", 10) + " SELECT query_id, chunk_id, distance, rank FROM t"),
     "vector_topk_filtered": (vector_topk_filtered, _TOP.format("WHERE label = qlabel", 10) + " SELECT query_id, chunk_id, distance, rank FROM t"),
@@ -233,14 +249,8 @@ QUERIES = {
         rerank_margin,
         f"WITH {_PAIR} SELECT query_id, round(1 / (1 + exp(-(max(score) FILTER (rank = 1) - coalesce(max(score) FILTER (rank = 2), 0)))), 6) AS confidence FROM top GROUP BY 1",
     ),
-    "phrase_hits": (
-        phrase_hits,
-        rf"""WITH q AS (SELECT item_id AS query_id, {TERMS.format('text')} AS qt FROM benchmark),
-        p AS (SELECT DISTINCT query_id, qt[i] || ' ' || qt[i + 1] AS p FROM (SELECT *, unnest(range(1, len(qt))) AS i FROM q)),
-        d AS (SELECT doc_id, array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), ' ') AS t FROM documents),
-        h AS (SELECT DISTINCT query_id, doc_id FROM p, d WHERE contains(t, p))
-        SELECT query_id, count(*) AS n_docs, min(doc_id) AS first_doc, sum(doc_id)::BIGINT AS sum_ids FROM h GROUP BY 1""",
-    ),
+    "phrase_hits": (phrase_hits, _PHRASES),
+    "phrase_index_hits": (phrase_index_hits, _PHRASES),
     "context_budget": (
         context_budget,
         rf"""WITH {_PAIR},
