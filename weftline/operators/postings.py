@@ -32,12 +32,13 @@ def _key(left: Column, right: Column) -> Column:
 
 
 def token_pairs(text: Column) -> Column:
-    """Distinct neighbouring tokens of a text that a phrase could stand in, as (l, r)."""
+    """Distinct neighbouring tokens of a text that a phrase could stand in, with a space between."""
 
     def pairs(t: Column) -> Column:
         n = F.size(t)
-        both = F.zip_with(F.slice(t, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(t, F.lit(2), n), lambda a, b: F.struct(a.alias("l"), b.alias("r")))
-        return F.array_distinct(F.filter(both, lambda p: (F.length(p["l"]) >= SIDE) & (F.length(p["r"]) >= SIDE)))
+        long = lambda x: F.length(x) >= SIDE
+        both = F.zip_with(F.slice(t, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(t, F.lit(2), n), lambda a, b: F.when(long(a) & long(b), F.concat(a, F.lit(" "), b)))
+        return F.array_distinct(F.array_compact(both))
 
     return let(alnum_tokens(text), pairs)
 
@@ -45,7 +46,8 @@ def token_pairs(text: Column) -> Column:
 def phrase_postings(docs: DataFrame) -> DataFrame:
     """key, l, r, doc_id: one row for each distinct pair of neighbouring tokens of a document."""
     pairs = docs.select("doc_id", F.explode(token_pairs(F.col("text"))).alias("p"))
-    return pairs.select(_key(F.col("p.l"), F.col("p.r")).alias("key"), "p.l", "p.r", "doc_id")
+    pairs = pairs.select(F.substring_index("p", " ", 1).alias("l"), F.substring_index("p", " ", -1).alias("r"), "doc_id")
+    return pairs.select(_key(F.col("l"), F.col("r")).alias("key"), "l", "r", "doc_id")
 
 
 def query_phrases(queries: DataFrame) -> DataFrame:
