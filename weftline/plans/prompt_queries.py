@@ -81,7 +81,7 @@ _TRY = f"list_concat({_array(P.RECOVERY)}, [CASE WHEN infer THEN {_q(P.RECOVERY_
 _VOICE = f"CASE WHEN identity THEN {_q(P.VOICE_US)} ELSE {_q(P.VOICE_BRAND)} END"
 _SAID = " ".join(
     f"WHEN {'' if brief else 'NOT '}(lower(fallback) LIKE '%brief%' OR lower(fallback) LIKE '%concise%') AND {'' if us else 'NOT '}identity THEN "
-    + _q(P.NOTHING_FOUND.format(P.BRIEF if brief else P.LONG).replace("I c", "We c" if us else "I c", 1).replace("but I", "but we" if us else "but I"))
+    + _q((P.NOTHING_FOUND_BRIEF if brief else P.NOTHING_FOUND).replace("I c", "We c" if us else "I c", 1).replace("but I", "but we" if us else "but I"))
     for brief in (0, 1)
     for us in (0, 1)
 )
