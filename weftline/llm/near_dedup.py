@@ -15,9 +15,9 @@ No bucket emits all of its pairs.  Round one tests each node against the least
 of its hubs, the smallest nodes of its buckets, and then against those of its
 hubs that are of another component.  Members that then share a component need
 no further test.  Round two takes only buckets that still hold several components
-and tests members of different ones, with the sketch inside the join condition;
-bands are long, so texts of similarity 0.5 share a bucket in one of five cases,
-not in most.  Buckets and nodes that many rows share are split over tasks.
+and tests members of different ones, with the sketch and then the full sets
+inside the join condition, so that only links leave the join; bands are long, so
+texts of similarity 0.5 share a bucket in one of five cases, not in most.  Buckets and nodes that many rows share are split over tasks.
 
 Defined cases: no text or no words: an empty set, linked with nothing; fewer
 than five words: the whole sequence is the one shingle; a null doc_id is its
@@ -213,22 +213,23 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     apart = join_split(spokes, label_a, "a", ["b"], spokes.count()).join(label_b, "b").where("ca <> cb").select("a", "b")
     star_late = alike(materialize(apart, "near-apart"), "near-star-late")
     links = materialize(confirm(star_late, sets, percent), "near-links")
-    star = star.unionByName(star_late)
     comps = materialize(connected_components(_as_edges(comps).unionByName(links)), "near-components")
 
     labelled = crowded.select("key", "band", "node").join(comps, "node", "left").withColumn("c", F.coalesce("component", "node"))
     labelled = materialize(labelled.drop("component"), "near-labelled")
     mixed = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    rest = join_split(labelled, mixed, "key", ["node"], labelled.count()).join(sketches, "node")
-    rest = materialize(rest.select("key", "band", "node", "c", "n", "sketch", "bands"), "near-rest")
-    one = rest.select("key", "band", F.col("bands").alias("ba"), F.col("node").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    two = rest.select("key", F.col("bands").alias("bb"), F.col("node").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    rest = join_split(labelled, mixed, "key", ["node"], labelled.count()).join(sketches, "node").join(sets, "node")
+    rest = materialize(rest.select("key", "band", "node", "c", "n", "sketch", "bands", "grams"), "near-rest")
+
+    def side(x: str) -> list:
+        return [F.col(c).alias(f"{to}{x}") for c, to in (("bands", "b"), ("node", ""), ("c", "c"), ("n", "n"), ("sketch", "s"), ("grams", "g"))]
+
     # a pair that shares several bands comes from the first of them alone
     first = F.array_position(F.zip_with("ba", "bb", lambda x, y: x == y), True) == F.col("band") + 1
-    pairs = join_split(one, two, "key", ["a"], rest.count(), SPLIT_ROWS)
-    more = pairs.where((F.col("ca") < F.col("cb")) & near & first).select("a", "b").distinct()
-    more = materialize(more.join(star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti"), "near-more")
-    late = materialize(confirm(more, sets, percent), "near-late-links")
+    # the full sets are compared within the join, so only links leave it
+    alike_sets = F.size(F.array_intersect("ga", "gb")) * (100 + percent) >= (F.size("ga") + F.size("gb")) * percent
+    pairs = join_split(rest.select("key", "band", *side("a")), rest.select("key", *side("b")), "key", ["a"], rest.count(), SPLIT_ROWS)
+    late = materialize(pairs.where((F.col("ca") < F.col("cb")) & near & first & alike_sets).select("a", "b").distinct(), "near-late-links")
     if late.head() is not None:
         comps = materialize(connected_components(_as_edges(comps).unionByName(late)), "near-all")
 
