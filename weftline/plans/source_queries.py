@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import files as S
+from ..sources.keyed_table import KeyedTable
 from ..storage import fresh_path, table
 
 #: Records in one made JSON file.
@@ -117,6 +118,19 @@ def sink_index(spark, sf):
     return left.select("chunk_id", F.md5("content").alias("content_md5"))
 
 
+def sink_keyed_table(spark, sf):
+    """The changes of ``sink_index`` as generations of a keyed table, opened again between them, compacted in part."""
+    path = fresh_path(spark, "keyed-table")
+    rows = _records(spark, sf)
+    again = rows.withColumn("content", F.lit("older")).withColumn("position", F.lit(-1).cast("long"))
+    KeyedTable.create(rows.unionByName(again), path, "chunk_id", 16, F.col("position"))
+    every = rows.where(F.col("position") % 10 == 0)
+    KeyedTable.open(spark, path).upsert(every.withColumn("content", F.lit("draft")))
+    KeyedTable.open(spark, path).upsert(every.withColumn("content", F.lit("changed")).unionByName(every.withColumn("chunk_id", F.concat(F.lit("n"), "chunk_id"))), compact_at=2)
+    left = KeyedTable.open(spark, path).delete_where(F.element_at("metadata", F.lit("lang")) == "fr").read()
+    return left.select("chunk_id", F.md5("content").alias("content_md5"))
+
+
 def sink_export(spark, sf):
     """Documents as JSON lines and as Parquet."""
     d = table(spark, sf, "documents").select("doc_id", "lang", "source", F.md5("text").alias("text_md5"))
@@ -149,5 +163,10 @@ QUERIES = {
         """SELECT doc_id::VARCHAR AS chunk_id, md5(CASE WHEN doc_id % 10 = 0 THEN 'changed' ELSE text END) AS content_md5 FROM documents WHERE lang IS DISTINCT FROM 'fr'
         UNION ALL SELECT 'n' || doc_id, md5(text) FROM documents WHERE doc_id % 10 = 0 AND lang IS DISTINCT FROM 'fr'""",
     ),
+    "sink_keyed_table": (
+        sink_keyed_table,
+        """SELECT doc_id::VARCHAR AS chunk_id, md5(CASE WHEN doc_id % 10 = 0 THEN 'changed' ELSE text END) AS content_md5 FROM documents WHERE lang IS DISTINCT FROM 'fr'
+        UNION ALL SELECT 'n' || doc_id, md5(text) FROM documents WHERE doc_id % 10 = 0 AND lang IS DISTINCT FROM 'fr'""",
+    ),
     "sink_export": (sink_export, "SELECT doc_id, lang, source, md5(text) AS text_md5, k AS kind FROM documents, (VALUES ('json'), ('parquet')) AS t(k)"),
 }
