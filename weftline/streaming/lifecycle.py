@@ -167,12 +167,22 @@ def run(stream: DataFrame, path: str, checkpoint: str, enough: Callable[[Streami
 
 
 def used_up(query: StreamingQuery) -> bool:
-    last = query.lastProgress
-    return last is not None and last["numInputRows"] == 0
+    """No rows in the last micro-batch.  The first one of a run says nothing: it may be one that an earlier run had begun."""
+    progress = query.recentProgress
+    return len({p["batchId"] for p in progress}) > 1 and progress[-1]["numInputRows"] == 0
 
 
 def changes(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.option("basePath", path).schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in schema)}, number int").parquet(path)
+    """The rows of the micro-batches that are written whole; a run may stop within one, and the next run writes it again."""
+    names = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in schema)}, number int"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    # one folder a micro-batch
+    found = [s.getPath() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    whole = [p.toString() for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    if not whole:
+        return spark.createDataFrame([], names)
+    return spark.read.option("basePath", path).schema(names).parquet(*whole)
 
 
 def sweep(stream: DataFrame, path: str, checkpoint: str, **settings) -> DataFrame:
