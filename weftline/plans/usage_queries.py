@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import listing as L
 from ..operators import usage as U
-from ..storage import table
+from ..operators.paging import PageIndex
+from ..storage import fresh_path, table
 
 #: The day that counts as today, and the time that counts as now.
 TODAY, NOW = "2024-01-20", "2024-01-20 12:00:00"
@@ -186,7 +187,23 @@ u AS (SELECT client_id, day, sum(tokens)::BIGINT AS tokens, count(*) AS requests
 SELECT client_id, day, coalesce(tokens, 0) AS tokens, coalesce(requests, 0) AS requests FROM g LEFT JOIN u USING (client_id, day)"""
 _T = "t AS (SELECT c_custkey AS id, c_name AS name, n_name AS client_name, lower(c_mktsegment) AS status, trunc(c_acctbal)::BIGINT AS balance FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey)"
 
+DEEP_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+
+
+def deep_list_page(spark, sf):
+    """Page 1,000 of all items by a column of three values, read from the ranges that hold it."""
+    rows = table(spark, sf, "lineitem").select("l_returnflag", *DEEP_ORDER)
+    return PageIndex.build(rows, fresh_path(spark, "page-index"), "l_returnflag", list(DEEP_ORDER), descending=True).page(1000, 25)
+
+
 QUERIES = {
+    "deep_list_page": (
+        deep_list_page,
+        """WITH r AS (SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, count(*) OVER () AS total,
+        row_number() OVER (ORDER BY lower(l_returnflag) DESC NULLS LAST, l_orderkey NULLS FIRST, l_linenumber NULLS FIRST, l_partkey NULLS FIRST, l_suppkey NULLS FIRST, l_extendedprice NULLS FIRST) AS n FROM lineitem),
+        p AS (SELECT *, greatest(1, ceil(total / 25))::INT AS pages, least(1000, greatest(1, ceil(total / 25)))::INT AS page FROM r)
+        SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, total, page, pages FROM p WHERE n > (page - 1) * 25 AND n <= page * 25""",
+    ),
     "usage_rollup": (usage_rollup, f"WITH {_E} SELECT day, client_id, sum(tokens)::BIGINT AS tokens, count(*) AS requests FROM e GROUP BY 1, 2"),
     "usage_hourly": (usage_hourly, f"WITH {_E} SELECT day, client_id, hour, sum(tokens)::BIGINT AS tokens, count(*) AS requests FROM e GROUP BY 1, 2, 3"),
     "usage_hourly_dense": (
