@@ -133,8 +133,12 @@ class KeyedTable:
         full = {b for b, c in v.changes.items() if len(c) >= least}
         if not full:
             return self
-        part = KeyedTable(self.spark, self.path, Version(v.number, v.key, v.buckets, v.schema, _only(v.base, full), _only(v.changes, full)))
-        generation, touched = self._write(part.read(), "base")
+        names = [*v.schema.names, GONE]
+        old = self._generations({b: [g] for b, g in _only(v.base, full).items()}).withColumns({GONE: F.lit(False), "_place": F.lit(-1)})
+        rows = old.select(*names, BUCKET, "_place").unionByName(self._changes(_only(v.changes, full)).select(*names, BUCKET, "_place"))
+        # a key has one row in the base and one a change, so nothing is hot; dealt by bucket, they are grouped and written without another shuffle
+        best = rows.repartition(BUCKET).groupBy(BUCKET, F.col(v.key).alias("_k")).agg(F.max_by(F.struct(*names), "_place").alias("r"))
+        generation, touched = self._write(best.where(~F.col(f"r.{GONE}")).select(*[F.col("r")[n].alias(n) for n in v.schema.names], BUCKET), "base")
         base = {b: g for b, g in v.base.items() if b not in full} | {b: generation for b in touched}
         return self._commit(base, {b: c for b, c in v.changes.items() if b not in full})
 
@@ -167,8 +171,9 @@ class KeyedTable:
     def _write(self, rows: DataFrame, kind: str) -> tuple[str, set[int]]:
         generation = f"{kind}-{uuid.uuid4().hex}"
         folder = f"{self.path}/data/{generation}"
-        dealt = rows.withColumn(BUCKET, _bucket(F.col(self.version.key), self.version.buckets))
-        dealt.repartition(BUCKET).sortWithinPartitions(BUCKET, self.version.key).write.partitionBy(BUCKET).parquet(folder)
+        if BUCKET not in rows.columns:
+            rows = rows.withColumn(BUCKET, _bucket(F.col(self.version.key), self.version.buckets)).repartition(BUCKET)
+        rows.sortWithinPartitions(BUCKET, self.version.key).write.partitionBy(BUCKET).parquet(folder)
         fs, p = _fs(self.spark, folder)
         names = [s.getPath().getName() for s in fs.listStatus(p)]
         return generation, {int(n.split("=")[1]) for n in names if n.startswith(f"{BUCKET}=")}
@@ -201,16 +206,17 @@ class KeyedTable:
             out = rows if out is None else out.unionByName(rows)
         return out if out is not None else self.spark.createDataFrame([], StructType([*schema, StructField("_generation", StringType())]))
 
-    def _changed(self, changes: dict[int, list[str]]) -> DataFrame:
-        """The newest change of each key."""
+    def _changes(self, changes: dict[int, list[str]]) -> DataFrame:
+        """All rows of the changes, with their ``_place`` in the order of commits."""
         # commits follow each other, so the lists of all buckets are parts of one order
-        order: dict[str, int] = {}
-        for g in _merged(changes.values()):
-            order[g] = len(order)
+        order = {g: i for i, g in enumerate(_merged(changes.values()))}
         place = F.create_map(*[F.lit(x) for g, i in order.items() for x in (g, i)])
-        rows = self._generations(changes, (StructField(GONE, BooleanType()),))
+        return self._generations(changes, (StructField(GONE, BooleanType()),)).withColumn("_place", place[F.col("_generation")])
+
+    def _changed(self, changes: dict[int, list[str]]) -> DataFrame:
+        """The newest change of each key."""
         names = [*self.version.schema.names, GONE]
-        best = rows.groupBy(F.col(self.version.key).alias("_k")).agg(F.max_by(F.struct(*names), place[F.col("_generation")]).alias("r"))
+        best = self._changes(changes).groupBy(F.col(self.version.key).alias("_k")).agg(F.max_by(F.struct(*names), "_place").alias("r"))
         return best.select("r.*")
 
 
