@@ -77,3 +77,11 @@ def test_the_session_keeps_its_store(spark):
         assert spark.conf.get(L.STORE) == L.ROCKSDB
         raise KeyError
     assert spark.conf.get(L.STORE, None) == before
+
+
+def test_reading_the_input_takes_as_long_as_it_takes(spark, tmp_path):
+    """Patience is for the end of cooldowns and the like, not for a micro-batch that has much to read."""
+    src, out, check = (str(tmp_path / x) for x in ("events", "out", "check"))
+    add(spark, src, [("2024-01-01T10:00:00", 1, 60.0), (None, 1, 5.0), ("2024-01-01T11:00:00", None, 2.5), ("2024-01-01T12:00:00", 1, -3.0)])
+    got = L.merged_rollup(L.run(L.expiring_rollup(stream(spark, src)), out, check, patience=0.01))
+    assert {(r["day"], r["client_id"]): (r["tokens"], r["requests"]) for r in got.collect()} == {("2024-01-01", 1): (60, 2), (None, 1): (5, 1), ("2024-01-01", None): (2, 1)}

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
@@ -82,22 +82,31 @@ def cooldown_stream(events: DataFrame, limit: int = DAILY_LIMIT, cooldown_ms: in
 
 
 class Rollup(StatefulProcessor):
-    """Tokens and requests of a client's day since its state was made; the state goes ``keep_ms`` after its last event."""
+    """Tokens and requests of a client's days, each since its state was made; a day's state goes ``keep_ms`` after its last event.
+
+    The days of a client are one group: each call to the state is a round trip,
+    so a day costs one to write, and one to read where the client has any.
+    """
 
     def __init__(self, keep_ms: int):
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sums = handle.getValueState("sums", "life long, tokens long, requests long", self.keep_ms)
+        self.sums = handle.getMapState("sums", "day string", "life long, tokens long, requests long", self.keep_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
         now = timerValues.getCurrentProcessingTimeInMs()
-        life, tokens, requests = self.sums.get() if self.sums.exists() else (now, 0, 0)
-        for batch in rows:
-            tokens, requests = tokens + int(batch["tokens"].sum()), requests + int(batch["requests"].sum())
-        self.sums.update((life, tokens, requests))
-        out = pd.DataFrame([[key[0], key[1], life, tokens, requests]], columns=["day", "client_id", "life", "tokens", "requests"])
-        yield out.astype({"client_id": "Int64"})
+        days: dict[str | None, list[int]] = {}
+        for r in rows:
+            new = days.setdefault(r["day"], [0, 0])
+            new[0] += r["tokens"]
+            new[1] += 1
+        known = self.sums.exists()
+        for day, (tokens, requests) in days.items():
+            at = (day or "",)  # a date is never empty
+            life, t, n = (self.sums.getValue(at) if known else None) or (now, 0, 0)
+            self.sums.updateValue(at, (life, t + tokens, n + requests))
+            yield Row(day=day, client_id=key[0], life=life, tokens=t + tokens, requests=n + requests)
 
     def close(self) -> None:
         pass
@@ -110,8 +119,8 @@ def expiring_rollup(events: DataFrame, keep_ms: int = KEEP_DAYS * 86_400_000) ->
     those that earlier lives left in the table, and never replace them: state is
     bounded by what was active in ``keep_ms``, and no event is lost.
     """
-    rows = events.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("user_id").alias("client_id"), _tokens().alias("tokens"), F.lit(1).alias("requests"))
-    return rows.groupBy("day", "client_id").transformWithStateInPandas(Rollup(keep_ms), ROLLUP, "Update", "ProcessingTime")
+    rows = events.select(F.col("user_id").alias("client_id"), F.date_format("ts", "yyyy-MM-dd").alias("day"), _tokens().alias("tokens"))
+    return rows.groupBy("client_id").transformWithState(Rollup(keep_ms), ROLLUP, "Update", "ProcessingTime")
 
 
 def merged_rollup(rows: DataFrame) -> DataFrame:
@@ -143,7 +152,8 @@ def run(stream: DataFrame, path: str, checkpoint: str, enough: Callable[[Streami
 
     Returns what is there, with the ``number`` of the micro-batch of each row.
     Without ``enough`` the run ends with its input; timers that are due later
-    fire in a later run.
+    fire in a later run.  ``patience`` (seconds) is for what ``enough`` waits
+    for; input is read however long it takes.
     """
     spark = stream.sparkSession
 
@@ -153,10 +163,11 @@ def run(stream: DataFrame, path: str, checkpoint: str, enough: Callable[[Streami
     with rocksdb(spark):
         query = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(processingTime=every).start()
         try:
-            until = time.monotonic() + patience
+            until = None
             # timers keep micro-batches coming, so a run has read its input when one of them had none
             while not (used_up(query) and (enough is None or enough(query))):
-                if time.monotonic() > until:
+                until = (until or time.monotonic() + patience) if used_up(query) else None
+                if until is not None and time.monotonic() > until:
                     raise TimeoutError("the stream did not reach the state that was waited for")
                 if query.exception() is not None:
                     raise query.exception()
