@@ -5,7 +5,7 @@ import json
 import re
 
 from weftline.functions.text import QUERY_STOPWORDS
-from weftline.plans import page_queries, tenant_queries, text_queries
+from weftline.plans import page_queries, source_queries, tenant_queries, text_queries
 
 FAR = "plain words " * 40
 
@@ -73,3 +73,11 @@ def test_entities_of_pages_as_they_are(spark, tmp_path):
     assert json.loads(e[0]["faq_pairs"]) == [{"q": "Q?", "a": "A"}] and json.loads(e[0]["product_variants"])[1] == {"name": "Big", "price": "20"}
     assert e[1] == {"entity_type": "Product", "product_name": "Mug", "product_price": "149.00"}
     assert json.loads(e[2]["people"]) == [{"name": "Ann", "role": "Cook"}] and e[3] == {}
+
+
+def test_manifest_of_pages_that_repeat_a_url(spark, tmp_path):
+    """Three pages of one file's range have the same URL; each has its entry."""
+    rows = [(1, "http://a.org/", "x"), (2, "http://a.org/", "y"), (3, "http://b.org/", "z"), (4, "http://a.org/", "x"), (101, "http://a.org/", "x")]
+    d = made(spark, tmp_path, "pages", rows, "page_id long, url string, html string")
+    got = sorted((r["url"], r["content_hash"]) for r in source_queries.source_manifest(spark, d).collect())
+    assert got == sorted((u, hashlib.md5(h.encode()).hexdigest()) for _, u, h in rows)

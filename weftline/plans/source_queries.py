@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..sources import files as S
@@ -69,7 +70,10 @@ def source_sitemap_tree(spark, sf):
 def source_manifest(spark, sf):
     path = fresh_path(spark, "manifest")
     entry = F.struct(F.col("url").alias("key"), F.struct(F.when(F.col("page_id") % 3 > 0, F.col("url")).alias("url"), F.lit("ok").alias("status"), F.md5("html").alias("content_hash")).alias("value"))
-    pages = table(spark, sf, "pages").groupBy(F.floor(F.col("page_id") / PER_FILE).alias("g")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
+    # a map holds a URL once: its further pages go to further files
+    again = F.row_number().over(Window.partitionBy("g", "url").orderBy("page_id"))
+    pages = table(spark, sf, "pages").withColumn("g", F.floor(F.col("page_id") / PER_FILE)).withColumn("again", again)
+    pages = pages.groupBy("g", "again").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
     pages.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return S.read_manifest(spark, path).select("url", "status", "content_hash", "tombstoned_at")
 
