@@ -72,6 +72,16 @@ def test_snapshot_tombstones(spark):
     assert got == {"a": "success", "b": "tombstoned"}
 
 
+def test_snapshot_rows_that_repeat_a_key(spark):
+    """Two rows of a key before and three now are three rows, and two where the key is gone."""
+    before = spark.createDataFrame([("a", "ok", "1"), ("a", "ok", "2"), ("b", "ok", "3"), ("b", "ok", "4"), ("c", "ok", "5")], "url string, status string, hash string")
+    now = spark.createDataFrame([("a", "ok", "6"), ("a", "ok", "6"), ("a", "ok", None), ("c", "new", None), (None, "ok", "7")], "url string, status string, hash string")
+    got = listing.snapshot_diff(before, now, "url", F.lit("t")).collect()
+    want = [("a", "ok", "2", None), ("a", "ok", "6", None), ("a", "ok", "6", None), ("b", "tombstoned", "3", "t"), ("b", "tombstoned", "4", "t"), ("c", "new", "5", None), (None, "ok", "7", None)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+
 PAGE = """<!-- source_url: https://example.com/about -->
 <html lang="en"><head><title>About us</title><meta name="description" content="Who we are"><link rel="canonical" href="https://example.com/c"></head>
 <body><nav>Menu</nav><main><h1>About</h1><p>We build <b>small</b> tools for people who like to read the words of this long paragraph about us.</p>

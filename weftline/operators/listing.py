@@ -54,17 +54,19 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def snapshot_diff(before: DataFrame, now: DataFrame, key: str, at: Column) -> DataFrame:
-    """The new snapshot with tombstones: keys that are gone keep their row, marked with the time."""
-    b, n = before.alias("b"), now.alias("n")
-    joined = b.join(n, F.col(f"b.{key}") == F.col(f"n.{key}"), "full_outer")
-    gone = F.col(f"n.{key}").isNull()
+    """The new snapshot with tombstones: keys that are gone keep their rows, marked with the time.
+
+    Rows that repeat a key stay as they are and are never paired; what a row of
+    ``now`` leaves null comes from ``before``, the greatest value of its key.
+    """
     others = [c for c in now.columns if c not in (key, "status", "tombstoned_at")]
-    return joined.select(
-        F.coalesce(F.col(f"n.{key}"), F.col(f"b.{key}")).alias(key),
-        F.when(gone, F.lit("tombstoned")).otherwise(F.col("n.status")).alias("status"),
-        *[F.coalesce(F.col(f"n.{c}"), F.col(f"b.{c}")).alias(c) for c in others],
-        F.when(gone, at).alias("tombstoned_at"),
+    old = before.groupBy(F.col(key).alias("__k")).agg(*[F.max(c).alias(f"__{i}") for i, c in enumerate(others)], F.count(F.lit(1)).alias("__n"))
+    kept = now.join(old, F.col(key).eqNullSafe(F.col("__k")), "left").select(
+        key, "status", *[F.coalesce(F.col(c), F.col(f"__{i}")).alias(c) for i, c in enumerate(others)], F.when(F.lit(False), at).alias("tombstoned_at")
     )
+    keys = now.select(F.col(key).alias("__k")).distinct()
+    gone = before.join(keys, F.col(key).eqNullSafe(F.col("__k")), "left_anti")
+    return kept.unionByName(gone.select(key, F.lit("tombstoned").alias("status"), *others, at.alias("tombstoned_at")))
 
 
 def progress(rows: DataFrame, by: str, status: str = "status") -> DataFrame:
