@@ -243,7 +243,7 @@ QUERIES = {
     "client_list_page": (
         client_list_page,
         f"""WITH {_T}, n AS (SELECT count(*) AS total, greatest(1, ceil(count(*) / 25))::INT AS pages FROM t)
-        SELECT t.*, total, pages AS page, pages FROM t, n ORDER BY lower(name) NULLS FIRST, id LIMIT 25 OFFSET (SELECT (pages - 1) * 25 FROM n)""",
+        SELECT t.*, total, least(1000, pages) AS page, pages FROM t, n ORDER BY lower(name) NULLS FIRST, id LIMIT 25 OFFSET (SELECT (least(1000, pages) - 1) * 25 FROM n)""",
     ),
     "admin_stats": (
         admin_stats,
