@@ -106,3 +106,11 @@ def test_client_list_page_of_many_clients(spark, tmp_path):
     clients.write.parquet(f"{tmp_path}/customer.parquet")
     agrees(spark, str(tmp_path), usage_queries, "client_list_page", 25)
     assert {(r["page"], r["pages"]) for r in usage_queries.client_list_page(spark, str(tmp_path)).collect()} == {(1000, 1002)}
+
+
+def test_scores_of_a_context_are_rounded_as_doubles(spark):
+    """0.78125 is a double, and rounds to even as in Python; its decimal form would round up.
+    scores = [0.78125, 0.81875, 0.81235, 0.00015, 1.0, 0.0, 1234.5]
+    hits = spark.createDataFrame([(i, 1, i, "t", "u", "", "text", s) for i, s in enumerate(scores)], "query_id long, rank int, chunk_id long, title string, url string, section string, text string, score double")
+    got = {r["query_id"]: r["context"] for r in context.build_contexts(hits).collect()}
+    assert [got[i].split("Rerank Score: ")[1].split("\n")[0] for i in range(len(scores))] == [f"{s:.4f}" for s in scores]

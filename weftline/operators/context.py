@@ -26,7 +26,8 @@ def build_contexts(hits: DataFrame, budget: int = 1200) -> DataFrame:
     clean = clean.withColumn("position", F.row_number().over(order))
     block = F.concat(
         F.format_string("[S%d]\nTitle: ", "position"), "title", F.lit("\nURL: "), "url", F.lit("\nSection: "), "section",
-        F.format_string("\nRerank Score: %.4f\nContent:\n", "score"), "text",
+        # this rounds the double itself; %.4f would round its shortest decimal form half up
+        F.lit("\nRerank Score: "), F.call_function("format_number", F.col("score").cast("double"), F.lit("0.0000")), F.lit("\nContent:\n"), "text",
     )
     clean = clean.withColumn("block", block).withColumn("tokens", token_count(F.col("block")))
     clean = clean.withColumn("running", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))

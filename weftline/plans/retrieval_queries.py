@@ -199,7 +199,7 @@ q AS (SELECT *, CASE WHEN low = '' THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, grea
   - least(0.4::DOUBLE, 0.15::DOUBLE * bad) - (CASE WHEN g < 0.2 THEN 0.3 WHEN g < 0.5 THEN 0.15 ELSE 0 END)::DOUBLE
   - (CASE WHEN contains(low, 'i don''t know') OR contains(low, 'not enough information') THEN 0.15 ELSE 0 END)::DOUBLE)) END AS quality FROM g),
 f AS (SELECT *, round(0.35::DOUBLE * 0.8::DOUBLE + 0.3::DOUBLE * 0.7::DOUBLE + 0.2::DOUBLE * g + 0.15::DOUBLE * quality, 6) AS score FROM q)"""
-_BLOCK = r"""'[S' || position || ']' || chr(10) || 'Title: Doc ' || doc_id || chr(10) || 'URL: https://example.com/' || source || chr(10) || 'Section: ' || chr(10) || 'Rerank Score: ' || printf('%.4f', score) || chr(10) || 'Content:' || chr(10) || text"""
+_BLOCK = r"""'[S' || position || ']' || chr(10) || 'Title: Doc ' || doc_id || chr(10) || 'URL: ' || coalesce('https://example.com/' || source, '') || chr(10) || 'Section: ' || chr(10) || 'Rerank Score: ' || printf('%.4f', score) || chr(10) || 'Content:' || chr(10) || text"""
 
 _PHRASES = rf"""WITH q AS (SELECT item_id AS query_id, {TERMS.format('text')} AS qt FROM benchmark),
 p AS (SELECT DISTINCT query_id, qt[i] || ' ' || qt[i + 1] AS p FROM (SELECT *, unnest(range(1, len(qt))) AS i FROM q)),
