@@ -114,3 +114,13 @@ def test_scores_of_a_context_are_rounded_as_doubles(spark):
     hits = spark.createDataFrame([(i, 1, i, "t", "u", "", "text", s) for i, s in enumerate(scores)], "query_id long, rank int, chunk_id long, title string, url string, section string, text string, score double")
     got = {r["query_id"]: r["context"] for r in context.build_contexts(hits).collect()}
     assert [got[i].split("Rerank Score: ")[1].split("\n")[0] for i in range(len(scores))] == [f"{s:.4f}" for s in scores]
+
+
+def test_guard_rails_agree_with_their_sql(spark, tmp_path):
+    """Words cut by a prefix of 200 characters, reasons after it, exceptions of a look-ahead, turns without text."""
+    said = [FAR[:196] + " assoc", FAR + "please fabricate it", FAR + "oh sh1t", "act as  a retrieval", "act as a retrieval act as a cook", "act as a\tretrieval", "you are now a retrieval", "act as", None]
+    d = made(spark, tmp_path, "conversations", [(8 * i, 0, "user", t) for i, t in enumerate(said)], "conv_id long, turn long, role string, text string")
+    agrees(spark, d, page_queries, "guardrail_flags", len(said))
+    agrees(spark, d, page_queries, "profanity_flags", len(said))
+    reasons = {r["conv_id"] // 8: r["reason"] for r in page_queries.guardrail_flags(spark, d).collect()}
+    assert reasons == {0: None, 1: "hallucination: fabricate", 2: "inappropriate language", 3: "role hijack: act as", 4: "role hijack: act as", 5: None, 6: None, 7: "role hijack: act as", 8: None}
