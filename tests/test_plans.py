@@ -124,3 +124,15 @@ def test_guard_rails_agree_with_their_sql(spark, tmp_path):
     agrees(spark, d, page_queries, "profanity_flags", len(said))
     reasons = {r["conv_id"] // 8: r["reason"] for r in page_queries.guardrail_flags(spark, d).collect()}
     assert reasons == {0: None, 1: "hallucination: fabricate", 2: "inappropriate language", 3: "role hijack: act as", 4: "role hijack: act as", 5: None, 6: None, 7: "role hijack: act as", 8: None}
+
+
+def test_entities_without_semicolons_agree_with_the_sql(spark, tmp_path):
+    body = "".join(f"<p>{w} words &amp; more of a long paragraph &lt;here&gt; &copy; 2024</p>" for w in ("some", "other", "last"))
+    pages = [
+        f'<!DOCTYPE html><html lang="en"><head><title>{t}</title></head><body><nav>Menu</nav><article><h1>{t}</h1>{body}<p>{t}</p></article><footer>x &middot; y</footer></body></html>'
+        for t in ("A &amp; B", "cut &&&amp", "quot &quot", "a &amp;lt; b", "x &lt", "blank &nbsp;")
+    ]
+    d = made(spark, tmp_path, "pages", [(i, "http://a.org/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    for name in ("page_metadata", "page_main_text"):
+        agrees(spark, d, page_queries, name, len(pages))
+    assert [r["title"] for r in page_queries.page_metadata(spark, d).orderBy("page_id").collect()] == ["A & B", "cut &&&", 'quot "', "a &lt; b", "x <", "blank"]

@@ -107,12 +107,12 @@ def sanitized_constraints(spark, sf):
 
 
 def _text_of(html: str) -> str:
-    """Strings between tags and comments, trimmed, those that are left joined by a blank, with the entities of the pages."""
-    parts = f"list_filter(list_transform(string_split({html}, chr(1)), lambda t: regexp_replace(t, '^[\\s\\x1c-\\x1f\\x85\\p{{Z}}]+|[\\s\\x1c-\\x1f\\x85\\p{{Z}}]+$', '', 'g')), lambda t: t <> '')"
-    text = f"array_to_string({parts}, ' ')"
+    """Strings between tags and comments, with the entities of the pages (whose semicolon may be missing) read, then trimmed, those that are left joined by a blank."""
+    read = "t"
     for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("nbsp", "\u00a0"), ("amp", "&")):
-        text = f"replace({text}, '&{name};', '{char}')"
-    return text
+        read = f"regexp_replace({read}, '&{name};?', '{char}', 'g')"
+    trimmed = f"regexp_replace({read}, '^[\\s\\x0b\\x1c-\\x1f\\x85\\p{{Z}}]+|[\\s\\x0b\\x1c-\\x1f\\x85\\p{{Z}}]+$', '', 'g')"
+    return f"array_to_string(list_filter(list_transform(string_split({html}, chr(1)), lambda t: {trimmed}), lambda t: t <> ''), ' ')"
 
 
 _CUT = "regexp_replace(regexp_extract({0}, '{1}', 1, 's'), '<!--.*?-->|<[^>]*>', chr(1), 'gs')"
@@ -146,8 +146,8 @@ _REASON = "CASE " + " ".join(f"WHEN {_rule(p)} THEN '{r}'" for p, r in G.BLOCKED
 QUERIES = {
     "page_metadata": (
         page_metadata,
-        r"""SELECT page_id, replace(replace(replace(trim(regexp_extract(html, '<title>(.*?)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title, regexp_extract(html, '<html[^>]* lang="([^"]*)"', 1) AS language,
-        len(regexp_extract_all(html, '<h[1-3][ >]'))::INT AS n_headings, replace(replace(replace(trim(regexp_extract(html, '<h1>(.*?)</h1>', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS first_heading FROM pages""",
+        f"""SELECT page_id, {_text_of("regexp_extract(html, '<title>(.*?)</title>', 1)")} AS title, regexp_extract(html, '<html[^>]* lang="([^"]*)"', 1) AS language,
+        len(regexp_extract_all(html, '<h[1-3][ >]'))::INT AS n_headings, {_text_of("regexp_extract(html, '<h1>(.*?)</h1>', 1)")} AS first_heading FROM pages""",
     ),
     "page_text": (page_text, None),
     "page_main_text": (page_main_text, f"SELECT page_id, length({_CONTENT}) AS chars, md5({_CONTENT}) AS text_md5, md5({_BODY}) AS body_md5, {_TAGS} AS n_tags FROM pages"),
