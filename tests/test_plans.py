@@ -136,3 +136,9 @@ def test_entities_without_semicolons_agree_with_the_sql(spark, tmp_path):
     for name in ("page_metadata", "page_main_text"):
         agrees(spark, d, page_queries, name, len(pages))
     assert [r["title"] for r in page_queries.page_metadata(spark, d).orderBy("page_id").collect()] == ["A & B", "cut &&&", 'quot "', "a &lt; b", "x <", "blank"]
+
+
+def test_terms_with_letters_of_several_capitals(spark, tmp_path):
+    d = made(spark, tmp_path, "benchmark", [(1, "Erßie x"), (2, "ﬁne ŉ"), (3, "Plain ß"), (4, "ΐé"), (5, "gone")], "item_id long, text string")
+    agrees(spark, d, source_queries, "source_benchmark_queries", 4)
+    assert {r["terms"] for r in source_queries.source_benchmark_queries(spark, d).collect()} >= {"erssie", "fine", "plain"}

@@ -146,6 +146,12 @@ def sink_export(spark, sf):
     return out[0].unionByName(out[1])
 
 
+#: DuckDB maps each character to one; letters whose capitals are several, like ß, are spelled out.
+_LOWER_OF_UPPER = "split_part(text, ' ', 1)"
+for _c in filter(lambda c: len(c.upper()) > 1, map(chr, [*range(0xD800), *range(0xE000, 0x10000)])):
+    _LOWER_OF_UPPER = f"replace({_LOWER_OF_UPPER}, '{_c}', '{_c.upper()}')"
+_LOWER_OF_UPPER = f"lower(upper({_LOWER_OF_UPPER}))"
+
 QUERIES = {
     "source_html_files": (source_html_files, "SELECT md5(html) AS html_md5, count(*) AS n FROM pages GROUP BY 1"),
     "source_chunk_records": (
@@ -158,7 +164,7 @@ QUERIES = {
     "source_manifest": (source_manifest, "SELECT url, 'ok' AS status, md5(html) AS content_hash, NULL::VARCHAR AS tombstoned_at FROM pages"),
     "source_benchmark_queries": (
         source_benchmark_queries,
-        "SELECT trim(text) AS query, lower(upper(split_part(text, ' ', 1))) AS terms FROM benchmark WHERE item_id % 5 > 0 AND trim(text) <> '' AND split_part(text, ' ', 1) <> ''",
+        f"SELECT trim(text) AS query, {_LOWER_OF_UPPER} AS terms FROM benchmark WHERE item_id % 5 > 0 AND trim(text) <> '' AND split_part(text, ' ', 1) <> ''",
     ),
     "sink_snapshots": (sink_snapshots, "SELECT url, substr(sha256(url), 1, 10) AS tail, md5(html) AS html_md5 FROM pages"),
     "sink_audit": (sink_audit, "SELECT conv_id, turn, role, md5(text) AS text_md5 FROM conversations"),
