@@ -142,3 +142,9 @@ def test_terms_with_letters_of_several_capitals(spark, tmp_path):
     d = made(spark, tmp_path, "benchmark", [(1, "Erßie x"), (2, "ﬁne ŉ"), (3, "Plain ß"), (4, "ΐé"), (5, "gone")], "item_id long, text string")
     agrees(spark, d, source_queries, "source_benchmark_queries", 4)
     assert {r["terms"] for r in source_queries.source_benchmark_queries(spark, d).collect()} >= {"erssie", "fine", "plain"}
+
+
+def test_tidy_texts_agree_with_their_sql_after_character_300(spark, tmp_path):
+    texts = [FAR + "a \t\r\n\r\n\n\n" + FAR + "b  \nc", FAR + "d", "short", "", None]
+    d = made(spark, tmp_path, "documents", list(enumerate(texts)), "doc_id long, text string")
+    agrees(spark, d, tenant_queries, "tidy_texts", len(texts))

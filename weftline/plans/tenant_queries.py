@@ -161,10 +161,10 @@ QUERIES = {
     ),
     "tidy_texts": (
         tidy_texts,
-        r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(replace(chr(35) || ' A  ' || chr(13) || chr(10) || repeat(chr(13) || chr(10), 3) || substr(coalesce(text, ''), 1, 300) || '  ' || chr(13) || repeat(chr(10), 4) || 'end',
+        r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(replace(chr(35) || ' A  ' || chr(13) || chr(10) || repeat(chr(13) || chr(10), 3) || coalesce(text, '') || '  ' || chr(13) || repeat(chr(10), 4) || 'end',
         chr(13) || chr(10), chr(10)), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), chr(10)) || chr(10)) AS markdown_md5 FROM documents""",
     ),
-    # The same plan against SQL of whole texts; the SQL above still reads a prefix of each.
+    # The name under which whole texts were first compared.
     "tidy_whole_texts": (
         tidy_texts,
         r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(replace(chr(35) || ' A  ' || chr(13) || chr(10) || repeat(chr(13) || chr(10), 3) || coalesce(text, '') || '  ' || chr(13) || repeat(chr(10), 4) || 'end',
