@@ -109,7 +109,7 @@ def test_client_list_page_of_many_clients(spark, tmp_path):
 
 
 def test_scores_of_a_context_are_rounded_as_doubles(spark):
-    """0.78125 is a double, and rounds to even as in Python; its decimal form would round up.
+    """0.78125 is a double, and rounds to even as in Python; its decimal form would round up."""
     scores = [0.78125, 0.81875, 0.81235, 0.00015, 1.0, 0.0, 1234.5]
     hits = spark.createDataFrame([(i, 1, i, "t", "u", "", "text", s) for i, s in enumerate(scores)], "query_id long, rank int, chunk_id long, title string, url string, section string, text string, score double")
     got = {r["query_id"]: r["context"] for r in context.build_contexts(hits).collect()}
@@ -148,3 +148,12 @@ def test_tidy_texts_agree_with_their_sql_after_character_300(spark, tmp_path):
     texts = [FAR + "a \t\r\n\r\n\n\n" + FAR + "b  \nc", FAR + "d", "short", "", None]
     d = made(spark, tmp_path, "documents", list(enumerate(texts)), "doc_id long, text string")
     agrees(spark, d, tenant_queries, "tidy_texts", len(texts))
+
+
+def test_summary_counts_copies_as_they_are_read(spark, tmp_path):
+    """Of three pages one is cut within an entity and one in capitals: they are copies of the first."""
+    text = "A paragraph of words, long enough to be the content of its page, with an ampersand and a few more words at its end "
+    bodies = [text + "&amp;", text + "&amp", text.upper() + "&amp;", text + "more", "short"]
+    d = made(spark, tmp_path, "pages", [(i, "http://a.org/", f"<html><head><title>t</title></head><body><article><p>{b}</p></article></body></html>") for i, b in enumerate(bodies)], "page_id long, url string, html string")
+    agrees(spark, d, page_queries, "processing_summary", 1)
+    assert tuple(page_queries.processing_summary(spark, d).head()) == (5, 4, 2, 1)

@@ -171,7 +171,7 @@ QUERIES = {
     "processing_summary": (
         processing_summary,
         f"""WITH p AS (SELECT {_CONTENT} AS text FROM pages),
-        n AS (SELECT count(*) AS d, count(*) FILTER (WHERE length(text) >= 40) AS p, count(DISTINCT CASE WHEN length(text) >= 40 THEN text END) AS k FROM p)
+        n AS (SELECT count(*) AS d, count(*) FILTER (WHERE length(text) >= 40) AS p, count(DISTINCT CASE WHEN length(text) >= 40 THEN lower(text) END) AS k FROM p)
         SELECT d AS discovered, p AS processed, p - k AS duplicates, d - p AS empty FROM n""",
     ),
     "chunk_documents": (chunk_documents, None),
