@@ -6,6 +6,7 @@ import re
 from pathlib import Path
 
 import duckdb
+import pyarrow as pa
 
 from weftline.functions.text import QUERY_STOPWORDS
 from weftline.operators import context
@@ -157,3 +158,18 @@ def test_summary_counts_copies_as_they_are_read(spark, tmp_path):
     d = made(spark, tmp_path, "pages", [(i, "http://a.org/", f"<html><head><title>t</title></head><body><article><p>{b}</p></article></body></html>") for i, b in enumerate(bodies)], "page_id long, url string, html string")
     agrees(spark, d, page_queries, "processing_summary", 1)
     assert tuple(page_queries.processing_summary(spark, d).head()) == (5, 4, 2, 1)
+
+
+def test_chunks_of_pages_are_written_in_small_batches(spark):
+    """Batches of 8 MB while a table is written, the session's own value after that; at most 500 chunks are held."""
+    from weftline import storage
+    from weftline.operators import pages
+
+    before = spark.conf.get(storage.BATCH)
+    with storage.small_batches(spark):
+        assert spark.conf.get(storage.BATCH) == "8m"
+    assert spark.conf.get(storage.BATCH) == before
+    page = ["# T\n\n" + "\n\n".join(f"## H{i}\n\n" + f"word{i} " * 300 for i in range(100)) for _ in range(20)]
+    batch = pa.RecordBatch.from_pydict({"markdown": page, "document_hash": [str(i) for i in range(20)], "title": ["t"] * 20, "url": [""] * 20, "source_file": [""] * 20})
+    out = list(pages._chunk({})(iter([batch])))
+    assert sum(b.num_rows for b in out) > 1000 and max(b.num_rows for b in out) < 1000

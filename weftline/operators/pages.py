@@ -104,11 +104,12 @@ def _chunk(settings: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[dict] = []
-            for markdown, h, title, url, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows += chunker.chunk(markdown, h or "", title=title or "", url=url or "", source_file=source or "", **settings)
-                if len(rows) >= 2000:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                    rows = []
+            for lo in range(0, batch.num_rows, 200):
+                for markdown, h, title, url, source in zip(*(c.to_pylist() for c in batch.slice(lo, 200).columns), strict=True):
+                    rows += chunker.chunk(markdown, h or "", title=title or "", url=url or "", source_file=source or "", **settings)
+                    if len(rows) >= 500:
+                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                        rows = []
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 

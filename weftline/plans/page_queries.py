@@ -70,12 +70,14 @@ def _doc_chunks(spark, sf):
 
 
 def chunk_documents(spark, sf):
-    return _doc_chunks(spark, sf).select("source_file", "chunk_id", "token_count", "content_type", "split_index", "split_count", F.md5("content").alias("content_md5"))
+    chunks = _doc_chunks(spark, sf).select("source_file", "chunk_id", "token_count", "content_type", "split_index", "split_count", F.md5("content").alias("content_md5"))
+    return persisted(chunks, "document-chunks")
 
 
 def chunk_pages(spark, sf):
     docs = P.documents(table(spark, sf, "pages")).withColumn("source_file", F.format_string("%012d", "page_id"))
-    return P.chunk_documents(docs).select("source_file", "chunk_id", "token_count", "content_type", "section", F.md5("content").alias("content_md5"))
+    chunks = P.chunk_documents(docs).select("source_file", "chunk_id", "token_count", "content_type", "section", F.md5("content").alias("content_md5"))
+    return persisted(chunks, "page-chunks")  # written in small batches, as pages are long
 
 
 def chunk_dedup(spark, sf):

@@ -5,9 +5,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of one Arrow batch between the JVM and Python; a longer row is a batch of its own.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+
 _own: dict[str, str] = {}
 _made: list[tuple[SparkSession, str]] = []
 
@@ -48,10 +53,22 @@ def _clean() -> None:
             continue
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs inside passes batches of a few MB to Python, however long the rows are."""
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
 def persisted(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: short lineage that outlives executors."""
+    """``df`` written to the shared folder in small batches and read again: short lineage that outlives executors."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
