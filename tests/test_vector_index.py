@@ -85,3 +85,20 @@ def test_nothing_to_index_or_to_ask(spark, tmp_path):
     assert index.search(queries.limit(0), 5).count() == 0
     other = spark.createDataFrame([(1, [1.0, 2.0], 1), (2, None, 1), (None, [0.0] * 16, 1)], "query_id long, embedding array<float>, label int")
     assert index.search(other, 5).count() == 0
+
+
+def test_a_task_holds_distances_of_few_queries():
+    """4,000 queries against 2,048 rows: 66 MB of distances at once before, and as much for each step with them."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    q, x = rng.normal(size=(4000, 4)), rng.normal(size=(2048, 4))
+    best = retrieval._Best(list(range(4000)), q, 10)
+    tracemalloc.start()
+    best.add(np.arange(1024), x[:1024])
+    best.add(np.arange(1024, 2048), x[1024:], np.zeros((4000, 1024), dtype=bool))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6
+    for n in (0, 63, 64, 3999):
+        assert best.i[n].tolist() == np.lexsort((np.arange(2048), np.round(((x - q[n]) ** 2).sum(axis=1), 6)))[:10].tolist()

@@ -19,6 +19,8 @@ from .postings import match, phrase_postings, query_phrases
 QUERY_BLOCK = 4096
 #: Rows of the corpus that meet a block of queries at once.
 ROWS = 2048
+#: Queries of a block whose distances to these rows a task holds at once.
+TOGETHER = 64
 
 HITS = "query_id long, chunk_id long, distance double"
 
@@ -37,17 +39,23 @@ class _Best:
 
     def add(self, chunk: np.ndarray, x: np.ndarray, other: np.ndarray | None = None) -> None:
         """other: pairs of query and row that don't count."""
-        # exact differences, a few queries at a time: no cancellation
-        d = np.empty((len(self.ids), len(chunk)))
-        for q in range(len(self.ids)):
-            d[q] = ((x - self.queries[q]) ** 2).sum(axis=1)
-        d = np.round(d, 6)
-        if other is not None:
-            d[other] = np.inf
-        d = np.concatenate([self.d, d], axis=1)
-        i = np.concatenate([self.i, np.tile(chunk, (len(self.ids), 1))], axis=1)
-        order = np.lexsort((i, d), axis=1)[:, : self.k]
-        self.d, self.i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+        kept = []
+        for lo in range(0, len(self.ids), TOGETHER):
+            s = slice(lo, lo + TOGETHER)
+            queries = self.queries[s]
+            # exact differences, query by query: no cancellation
+            d = np.empty((len(queries), len(chunk)))
+            for q in range(len(queries)):
+                d[q] = ((x - queries[q]) ** 2).sum(axis=1)
+            d = np.round(d, 6)
+            if other is not None:
+                d[other[s]] = np.inf
+            d = np.concatenate([self.d[s], d], axis=1)
+            i = np.concatenate([self.i[s], np.tile(chunk, (len(queries), 1))], axis=1)
+            order = np.lexsort((i, d), axis=1)[:, : self.k]
+            kept.append((np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)))
+        if kept:
+            self.d, self.i = (np.concatenate(c) for c in zip(*kept, strict=True))
 
     def rows(self, label=None) -> Iterator[pa.RecordBatch]:
         found = np.isfinite(self.d)
