@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -141,6 +142,31 @@ def test_toxicity_without_signal_marks_nothing():
         assert model.score(*toxicity._joined([text, "", "other words here", *texts])).max() < 0.5
 
 
+def test_fit_holds_little_beside_its_features():
+    """9,000 short instances, and long ones of few distinct subsequences: the driver makes no rows for all of these at once."""
+    r = random.Random(3)
+    words = [b" " + "".join(r.choice("abcdef") for _ in range(r.randint(4, 12))).encode() + b" " for _ in range(9000)]
+    long = b" " + b"abcdef" * 3000 + b" "
+    words += [long] * 3
+    machine = toxicity.Machine(words[:256])
+    y = np.array([1.0 if b"ab" in w else -1.0 for w in words])
+    tracemalloc.start()
+    try:
+        machine.fit(words, y, np.ones(len(words)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < len(words) * 256 * 8 + 50e6
+    # the kernels of the long one are those of its subsequences, counted one by one
+    _, keys, values = toxicity.word_features([long])
+    plain = np.zeros(256)
+    for k, v in zip(keys.tolist(), values.tolist(), strict=True):
+        at = np.searchsorted(machine.keys, k)
+        if at < len(machine.keys) and machine.keys[at] == k:
+            plain += v * machine.phi[at]
+    assert np.allclose(machine.features([words[0], long, words[1]])[1], plain @ machine.root)
+
+
 def test_kernel_is_the_subsequence_kernel():
     """The explicit features give the gap-weighted kernel of two words, by brute force."""
     from itertools import combinations

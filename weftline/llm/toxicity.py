@@ -58,6 +58,8 @@ DECAY = 0.7
 #: Tasks of the fit, and bytes of texts that a task takes at once; a longer text is a piece of its own.
 TASKS, PIECE = 16, 1 << 18
 LANDMARKS = 256
+#: Bytes of instances, and subsequences of them, that the features of the fit are made from at once.
+BLOCK, HITS = 1 << 14, 1 << 12
 ROUNDS = 3
 #: Of a clean document's instances, the HARD strongest and every OTHER-th of the rest are trained on.
 HARD, OTHER = 3, 256
@@ -255,18 +257,28 @@ class Machine:
         self.root = vectors[:, good] / np.sqrt(values[good])
 
     def features(self, words: list[bytes]) -> np.ndarray:
-        out = np.zeros((len(words), self.phi.shape[1]))
-        for lo in range(0, len(words), 500):
-            i, k, v = word_features(words[lo : lo + 500])
+        """Kernels to the landmarks times the inverse root; beside the result a few MB, however long an instance is."""
+        out = np.empty((len(words), self.root.shape[1]))
+        end = np.cumsum([len(w) for w in words], dtype=np.int64)
+        lo = 0
+        while lo < len(words):
+            before = end[lo - 1] if lo else 0
+            hi = max(lo + 1, min(lo + 500, int(np.searchsorted(end, before + BLOCK, side="right"))))
+            i, k, v = word_features(words[lo:hi])
             at = np.searchsorted(self.keys, k)
             at[at == len(self.keys)] = 0
             hit = np.flatnonzero(self.keys[at] == k)
             hit = hit[np.argsort(i[hit], kind="stable")]
-            if len(hit):
-                i, rows = i[hit], v[hit][:, None] * self.phi[at[hit]]
-                start = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
-                out[lo + i[start]] = np.add.reduceat(rows, start, axis=0)
-        return out @ self.root
+            kernels = np.zeros((hi - lo, self.phi.shape[1]))
+            for some in range(0, len(hit), HITS):
+                h = hit[some : some + HITS]
+                rows = self.phi[at[h]]
+                rows *= v[h][:, None]
+                start = np.flatnonzero(np.r_[True, i[h][1:] != i[h][:-1]])
+                kernels[i[h][start]] += np.add.reduceat(rows, start, axis=0)
+            out[lo:hi] = kernels @ self.root
+            lo = hi
+        return out
 
     def fit(self, words: list[bytes], y: np.ndarray, weight: np.ndarray) -> Table:
         w = fit_svm(self.features(words), y, 1.0, weight)
