@@ -1,11 +1,14 @@
 """Dedup, contexts, usage, lists, pages, chunks, sources and streams on hand-made cases."""
 
 import json
+import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.functions import chunker, html
+from weftline.functions import chunker, html, shingles
 from weftline.operators import context, dedup, discovery, listing, retrieval, usage
 from weftline.sources import files
 from weftline.streaming import usage as streams
@@ -27,6 +30,52 @@ def test_greedy_keep_on_a_chain(spark):
     assert {r["doc_id"]: r["kept"] for r in dedup.greedy_keep(docs).collect()} == {0: True, 1: False, 2: True, 3: False}
 
 
+def _plain_sets(texts, size=5):
+    cut = [" ".join(t.lower().split()).split() for t in texts]
+    return [{tuple(w[i : i + min(size, len(w))]) for i in range(max(len(w) - size + 1, 1))} if w else set() for w in cut]
+
+
+def test_shingle_sets_are_those_of_the_words(monkeypatch):
+    monkeypatch.setattr(shingles, "PIECE", 37)  # words and texts that cross pieces
+    texts = ["", "a", "one two", "\u00e9t\u00e9 \u4e2d\u6587 x y z \u00e9t\u00e9 \u4e2d\u6587 x y z", "ab ba ab ba ab ba ab", "l" * 200 + " b c d e f", "b c d e f " + "l" * 200, "a b c d e f", "one two"]
+    got = list(shingles._sets(pa.array(texts, pa.string()).slice(0), 5)) + list(shingles._sets(pa.array(["zz", *texts]).slice(1), 5))
+    plain = _plain_sets(texts) * 2
+    assert [len(g) for g in got] == [len(s) for s in plain]
+    for a, x in zip(got, plain, strict=True):
+        assert all(len(np.intersect1d(a, b)) == len(x & y) for b, y in zip(got, plain, strict=True))
+
+
+def test_similar_pairs_in_any_order_of_shingles(spark, monkeypatch):
+    """Families that overlap to all degrees, at the threshold too: all pairs, whatever the sample says of rarity, and only candidates have their sets written."""
+    r = random.Random(5)
+    texts = [" ".join(words(24)), " ".join(words(21))] + [" ".join(words(24)[:k] + words(24 - k, f"x{k}")) for k in range(14, 24)]
+    for f in range(6):
+        base = words(60, f"f{f}-")
+        texts += [" ".join(base[: 60 - k] + words(k, f"{f}.{k}.")) for k in range(0, 12, 2)] + [" ".join(base).upper()]
+    texts += [" ".join(r.choice("abcd") for _ in range(40)) for _ in range(8)] + ["short text", "Short  text", "", " ", None]
+    texts += [" ".join(words(30, f"lone{i}-")) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sets, first = _plain_sets([t or "" for t in texts]), {}
+    for i, t in enumerate(texts):
+        first.setdefault(" ".join((t or "").lower().split()), i)
+    ids = sorted(first.values())
+    want = {(a, b) for a in ids for b in ids if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert len(want) > 15 and (0, 1) in want  # 17 of 20
+    written = {}
+
+    def persisted(df, name, write=dedup.persisted):
+        written[name] = write(df, name)
+        return written[name]
+
+    monkeypatch.setattr(dedup, "persisted", persisted)
+    for sample, common in ((20_000, 200_000), (30, 3)):
+        monkeypatch.setattr(dedup, "SAMPLE", sample, raising=False)
+        monkeypatch.setattr(dedup, "COMMON", common, raising=False)
+        got = [(x["a"], x["b"]) for x in dedup.similar_pairs(docs).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert written["shingle-sets"].count() < 60
+
+
 def test_distance_filter(spark):
     hits = spark.createDataFrame([(1, 0.8), (2, 1.4), (3, None)], "chunk_id long, distance double")
     assert [r["chunk_id"] for r in retrieval.within_distance(hits, 1.15).collect()] == [1]
