@@ -88,3 +88,39 @@ def test_pause_in_mid_run_and_restart(spark, tmp_path):
 def test_commands_are_named(spark, tmp_path):
     with pytest.raises(ValueError, match="stop"):
         B.command(spark, str(tmp_path / "c"), [("a", "stop")])
+
+
+class _State:
+    """State of one key in memory, with the number of calls that asked it for a digest."""
+
+    def __init__(self):
+        self.map, self.asked = {}, 0
+
+    def exists(self):
+        return bool(self.map)
+
+    def containsKey(self, key):  # noqa: N802
+        self.asked += 1
+        return key in self.map
+
+    def updateValue(self, key, value):  # noqa: N802
+        assert key not in self.map  # embedded once
+        self.map[key] = value
+
+
+@pytest.mark.parametrize("known, asked", [(10**6, 0), (15, 32)])
+def test_new_lanes_ask_the_state_for_nothing(monkeypatch, known, asked):
+    """Each content twice: seen the second time, whether the lane still holds its digests (then without a call to the state) or asks."""
+    monkeypatch.setattr(B, "KNOWN", known, raising=False)
+    buffer = B.Buffer(encoder(), 8, 1000)
+    buffer.embedded, buffer.flushes = _State(), 0
+    buffer.known = None if buffer.embedded.exists() else set()
+    records = [(i, 1, str(i), f"text {i % 24}") for i in range(48)]
+    held = []
+    rows = [r for df in buffer._take(("a", 0), held, records) for r in df["outcome"]]
+    assert rows.count("embedded") == 24 and rows.count("seen") == 24 and held == []
+    assert buffer.embedded.asked == asked
+    # with a history the state is asked
+    buffer.known = None if buffer.embedded.exists() else set()
+    again = [r for df in buffer._take(("a", 0), held, records[:8]) for r in df["outcome"]]
+    assert again == ["seen"] * 8 and buffer.embedded.asked == asked + 8

@@ -37,6 +37,8 @@ from . import lifecycle as L
 FLUSH, LANES, HOLD_MS = 32, 16, 30_000
 #: Records that a task holds in memory before they go to the state or out.
 SPILL = 1_000
+#: Digests that a task holds in memory.
+KNOWN = 100_000
 #: Content of these characters alone is blank.
 BLANK = " \t\n\r\v\f"
 
@@ -65,6 +67,8 @@ class Buffer(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentProcessingTimeInMs()
         self.paused, self.flushes, self.due = self.lane.get() if self.lane.exists() else (False, 0, None)
+        # a call to the state is a round trip: a lane that has embedded nothing before knows all that it has from this call
+        self.known = None if self.embedded.exists() else set()
         fresh, commands = [], []
         # a command may come after the records that it holds back, so these are taken once all rows are seen
         for batch in rows:
@@ -94,6 +98,7 @@ class Buffer(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.paused, self.flushes, self.due = self.lane.get()
+        self.known = None
         # a timer of records that went with an earlier flush says nothing about the present ones
         if self.due is not None and self.due <= expiredTimerInfo.getExpiryTimeInMs() and self.held.exists():
             yield from self._rows(self._flush(key, [tuple(r) for r in self.held.get()], "timer"))
@@ -114,7 +119,7 @@ class Buffer(StatefulProcessor):
         for r in records:
             if r[3] is None or not r[3].strip(BLANK):
                 done.append([*key, *r[:3], "failed", None, None, None, None, None])
-            elif (digest := _digest(r[3])) in inside or self.embedded.containsKey((digest,)):
+            elif (digest := _digest(r[3])) in inside or self._embedded(digest):
                 done.append([*key, *r[:3], "seen", None, None, None, digest, None])
             else:
                 inside.add(digest)
@@ -128,6 +133,9 @@ class Buffer(StatefulProcessor):
                 done = []
         yield from self._rows(done)
 
+    def _embedded(self, digest: str) -> bool:
+        return self.embedded.containsKey((digest,)) if self.known is None else digest in self.known
+
     def _flush(self, key, held: list, reason: str) -> list[list]:
         if not held:
             return []
@@ -136,7 +144,11 @@ class Buffer(StatefulProcessor):
         for r, vector in zip(held, self.encode([r[3] for r in held]), strict=True):
             digest = _digest(r[3])
             self.embedded.updateValue((digest,), (self.flushes,))
+            if self.known is not None:
+                self.known.add(digest)
             done.append([*key, *r[:3], "embedded", self.flushes, len(held), reason, digest, [float(x) for x in vector]])
+        if self.known is not None and len(self.known) > KNOWN:
+            self.known = None  # from here on the state is asked
         return done
 
     def _keep(self, held: list, now: int) -> None:
